@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup
-from weftline.llm.common import read
+from weftline.llm import bpe, exact_dedup, secrets
+from weftline.llm.common import read, spread
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(spread(spark, read(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +33,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    own = (op1_byte_bpe, op2_secret_scan, op8_exact_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
