@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, exact_dedup, secrets
+from weftline.llm import bpe, exact_dedup, media, packing, secrets
 from weftline.llm.common import read, spread
 
 
@@ -20,6 +20,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.digest(spread(spark, read(spark, sf_dir, "documents")), path)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -33,7 +42,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_secret_scan, op8_exact_dedup)
+    own = (op1_byte_bpe, op2_secret_scan, op4_packing, op5_media, op8_exact_dedup)
     return {f.__name__: f for f in own}
 
 
