@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,58 @@ def spread(spark: SparkSession, df: DataFrame, rows: int = 1000) -> DataFrame:
     """Repartition a table of few partitions, so that all cores share the work on it."""
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, whole texts) of runs of rows with about ``size`` bytes together."""
+    part: list[bytes] = []
+    first = total = 0
+    for i, text in enumerate(texts.cast(pa.large_binary())):
+        part.append(text.as_py())
+        total += len(part[-1])
+        if total >= size:
+            yield first, part
+            part, total, first = [], 0, i + 1
+    if part:
+        yield first, part
+
+
+def sample_ids(ids: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most about ``most`` rows, by a hash of the id: all of them where there are fewer."""
+    n = ids.count()
+    if n <= most:
+        return ids
+    bound = int(most / n * 2**32)
+    return ids.where(F.crc32(F.concat(F.lit("s"), F.col(id_col).cast("string"))) < bound)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, doc_id, text. The id is the key where it is one; else rows get numbers in a written copy of the table."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    seen = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull().cast("int")).alias("absent")).first()
+    if (seen["most"] or 0) <= 1 and not seen["absent"]:
+        return rows.withColumn("key", F.col("doc_id"))
+    return keep(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b): the smallest node that is reachable.
+
+    Alternates large-star and small-star contraction (each a pair of aggregations and joins) until no edge changes; the
+    edges are written in each round. A node's many neighbours are aggregated to a minimum before they are joined back.
+    """
+    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = keep(large, "star")
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        new = keep(small.where("a <> b").select("a", "b").distinct(), "star")
+        changed = not new.join(now, ["a", "b"], "left_anti").isEmpty() or not now.join(new, ["a", "b"], "left_anti").isEmpty()
+        now = new
+        if not changed:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
