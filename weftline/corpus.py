@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.errors import CorpusError
+from weftline.store import written
 
 
 @dataclass(frozen=True)
@@ -62,8 +63,8 @@ class ParallelCorpus:
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx", falling: bool = False) -> DataFrame:
     """``df`` with dense numbers from 0 in the given order (rising, or all keys falling), without a window over all rows.
 
-    Rows are range-partitioned and sorted, each partition is counted, and the counts' running sums (one row a partition) are
-    joined back; equal keys keep no particular order.
+    Rows are range-partitioned, sorted and written to the shared folder, so that both readers see the same partitions; each
+    is counted, and the counts' running sums (one row a partition) are joined back. Equal keys keep no particular order.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     part, at, first = "__part", "__at", "__first"
@@ -71,8 +72,8 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx", fa
     names = [f"__k{i}" for i in range(len(keys))]
     by = [F.desc(n) if falling else F.asc(n) for n in names]
     cut = held.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
-    cut = cut.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    cut = written(cut.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(*names), "numbered")
     counts = cut.groupBy(part).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(part), before.alias(first))  # one row for each partition
-    return cut.join(F.broadcast(starts), part).withColumn(name, F.col(at) + F.col(first)).drop(part, at, first, *names)
+    return cut.join(F.broadcast(starts), part).withColumn(name, F.col(at) + F.col(first)).drop(part, at, first)

@@ -304,15 +304,23 @@ class LMClassifierFilter(Filter):
         self.models = _under([lm_params[n] for n in self.names], self.workdir)
 
     def score(self, segments: Sequence[Column]) -> Column:
-        def one(segment: Column, label: str) -> Column:
-            bits = _score([segment] * len(self.models), self.models, "logprob")
-            least = F.array_min(bits)
-            odds = F.transform(bits, lambda x: F.pow(F.lit(2.0), least - x))
-            own = F.get(odds, F.lit(self.names.index(label)))
-            total = F.lit(1.0) if self.relative else F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-            return F.when(segment == "", 1.0).otherwise(F.try_divide(own, total))
-
-        return F.array(*(one(s, x) for s, x in zip(segments, self.labels, strict=False)))
+        names, labels, models, relative = self.names, self.labels, self.models, self.relative
+
+        def kernel(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            own = [Scorer(**m) for m in models]
+
+            def one(sentence: str, label: str) -> float:
+                if not sentence:
+                    return 1.0
+                bits = [s.measures(sentence)[2] for s in own]
+                odds = [2.0 ** (min(bits) - b) for b in bits]
+                return odds[names.index(label)] / (max(odds) if relative else sum(odds))
+
+            for batch in batches:
+                columns = [c.to_pylist() for c in (batch if isinstance(batch, tuple) else (batch,))]
+                yield pa.array([[one(t, x) for t, x in zip(row, labels, strict=False)] for row in zip(*columns, strict=True)], pa.list_(pa.float64()))
+
+        return F.arrow_udf(kernel, "array<double>")(*segments)
 
     def accept(self, score: Column) -> Column:
         return all_of([F.get(score, F.lit(i)).isNull() | (F.get(score, F.lit(i)) >= F.lit(float(t))) for i, t in enumerate(self.thresholds)])
