@@ -33,6 +33,8 @@ NUM, DEN = 60, 100
 BITS, OWNED, BLOCK_BYTES = 40, 2_000_000, 4 << 20
 #: Entries of a part of an index list, tokens of a chunk.
 PART, CHUNK = 2048, 1 << 18
+#: Candidate pairs that a task holds to drop those that come again.
+HELD = 4_000_000
 BROADCAST_ROWS = 500_000
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -116,7 +118,7 @@ def _ask(owners: int):
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["tokens"], strict=True):
                 values, counts = np.unique(_unpack40(data.as_py()), return_counts=True)
-                counts = np.minimum(counts, 255).astype(np.uint8)
+                counts = np.minimum(counts, 65535).astype(np.uint16)
                 rows = [(o, block, b - a, *golomb.encode(values[a:b], int(first[o])), zlib.compress(counts[a:b].tobytes(), 1)) for o, a, b in golomb.split(values, owners, BITS)]
                 names = ["owner", "block", "n", "width", "unary", "rest", "counts"]
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -131,7 +133,7 @@ def _answer(owners: int):
     def kernel(table: pa.Table) -> pa.Table:
         first, rows = golomb.bounds(owners, BITS), table.to_pylist()
         sets = [golomb.decode(r["n"], int(first[r["owner"]]), r["width"], r["unary"], r["rest"]) for r in rows]
-        counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.uint8) for r in rows])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.uint16) for r in rows])
         _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         total = np.bincount(inverse, counts)
         code = np.where(total <= 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 2) / 2)))).astype(np.uint8)[inverse]
@@ -143,7 +145,8 @@ def _answer(owners: int):
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: index entries (token, key, size, position) of each set's prefix, without tokens that no other set holds."""
+    """Kernel: index entries of each set's prefix, without tokens that no other set holds: token, part of its list, number of
+    parts, key, size, position. How common a token is bounds its list, and so says in how many parts the list is split."""
     for batch in batches:
         for row in batch.to_pylist():
             tokens = _unpack40(row["tokens"])
@@ -159,10 +162,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, code = tokens[order], code[order]
             use = (place < prefix_length(sizes)[doc]) & (code > 0)
             keys = np.array(row["keys"], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[use].view(np.int64)), pa.array(keys[doc[use]]), pa.array(sizes[doc[use]].astype(np.int32)), pa.array(place[use].astype(np.int32))],
-                ["token", "key", "size", "place"],
-            )
+            tokens, code, key = tokens[use], code[use], keys[doc[use]]
+            parts = np.ceil(2.0 ** (1 + code / 8) / PART).astype(np.int64)
+            with np.errstate(over="ignore"):
+                part = ((key.view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
+            columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), key, sizes[doc[use]].astype(np.int32), place[use].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "part", "parts", "key", "size", "place"])
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +219,15 @@ def probe_lists(group: np.ndarray, side: np.ndarray, key: np.ndarray, size: np.n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: rows hold a list ``own`` and perhaps another part ``other`` of the same token's list."""
+    """Kernel: rows hold a list ``own`` and perhaps another part ``other`` of the same token's list. Pairs that come again
+    within ``HELD`` pairs of a partition are dropped before they are shuffled."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held), axis=0) if len(held) > 1 else held[0]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     for batch in batches:
         columns: dict[str, list[np.ndarray]] = {c: [] for c in ("group", "side", "key", "size", "place")}
         for side, name in enumerate(("own", "other")):
@@ -225,23 +238,26 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns["side"].append(np.full(int(n.sum()), side))
             for c in ("key", "size", "place"):
                 columns[c].append(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64))
-        pairs = probe_lists(*(np.concatenate(columns[c]) for c in ("group", "side", "key", "size", "place")))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        held.append(probe_lists(*(np.concatenate(columns[c]) for c in ("group", "side", "key", "size", "place"))))
+        if sum(map(len, held)) > HELD:
+            merged = np.unique(np.concatenate(held), axis=0)
+            held[:] = [merged]
+            if len(merged) > HELD // 2:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def candidates(entries: DataFrame) -> DataFrame:
     """Distinct pairs a < b of keys that pass the length and position filters at a shared token."""
-    lengths = entries.groupBy("token").count().where("count > 1")
-    parts = entries.join(lengths, "token").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    entry = F.struct("key", "size", "place")
-    lists = parts.groupBy("token", "parts", "part").agg(F.collect_list(entry).alias("own"))
+    lists = entries.groupBy("token", "part", "parts").agg(F.collect_list(F.struct("key", "size", "place")).alias("own"))
     empty = F.lit(None).cast("array<struct<key:bigint,size:int,place:int>>")
-    alone = lists.select("own", empty.alias("other"))
-    many = keep(lists.where("parts > 1"), "parts")
+    lists = keep(lists.where((F.size("own") > 1) | (F.col("parts") > 1)), "lists")
+    alone = lists.where(F.size("own") > 1).select("own", empty.alias("other"))
+    # parts of one list meet in pairs, each once
+    many = lists.where("parts > 1")
     met = many.alias("x").join(many.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")))
     both = alone.unionByName(met.select(F.col("x.own").alias("own"), F.col("y.own").alias("other")))
-    # a probe is the shorter or equal set or not: parts meet once, and either may hold the shorter one
     return both.mapInArrow(_candidates, "a long, b long").distinct()
 
 
@@ -340,15 +356,17 @@ def similar(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     extra = keep(extra, "extra")
     if extra.count() <= BROADCAST_ROWS:
         extra = F.broadcast(extra)
-    texts = rows.select("key", "text").join(extra, "key", "left_anti")
-    blocks = texts.mapInArrow(_blocks(size), "block long, keys array<long>, sizes array<int>, tokens binary")
-    blocks = keep(blocks, "blocks")
+        texts = rows.select("key", "text").join(extra, "key", "left_anti")
+    else:  # sorted, so that a partition made again is cut into the same blocks
+        texts = rows.select("key", "text").join(extra, "key", "left_anti").sortWithinPartitions("key")
     total = classes.agg(F.sum("n")).first()[0] or 0
     owners = max(1, -(-total // OWNED))
-    asked = blocks.select("block", "tokens").mapInArrow(_ask(owners), "owner int, block long, n int, width int, unary binary, rest binary, counts binary")
+    # one shuffle of the blocks serves both their questions and the join with the answers: the plans are equal up to it
+    blocks = texts.mapInArrow(_blocks(size), "block long, keys array<long>, sizes array<int>, tokens binary").where("block is not null").repartition("block")
+    asked = blocks.mapInArrow(_ask(owners), "owner int, block long, n int, width int, unary binary, rest binary, counts binary")
     answers = asked.groupBy("owner").applyInArrow(_answer(owners), "block long, owner int, codes binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "codes")).alias("answers"))
-    entries = keep(blocks.join(answers, "block").mapInArrow(_prefixes, "token long, key long, size int, place int"), "entries")
+    entries = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_prefixes, "token long, part int, parts int, key long, size int, place int")
     pairs = keep(candidates(entries), "pairs")
     # chunks: the smallest neighbour leads, and a heavy leader's followers are split by hash
     sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
