@@ -166,6 +166,9 @@ def test_runner(spark, tmp_path, capsys):
             {"type": "preprocess", "parameters": {"inputs": names("ok"), "outputs": names("pp"), "preprocessors": [{"RegExpSub": {"patterns": [["o", "0", 1, []]]}}, {"WhitespaceNormalizer": {}}]}},
             {"type": "write", "parameters": {"output": "w.txt", "data": "hello\n"}},
             {"type": "train_bpe", "parameters": {"input": "in.a", "model": "codes", "symbols": 5}},
+            {"type": "score", "parameters": {"inputs": names("in"), "output": "t.jsonl", "filters": [{"LengthFilter": {"unit": "char"}}, {"LongWordFilter": {}}]}},
+            {"type": "train_classifier", "parameters": {"training_scores": "t.jsonl", "model": "c.json", "criterion": "CE", "features": {"LengthFilter": {"quantiles": {"initial": 0.3}}}, "optimization": {"algorithm": "none"}}},
+            {"type": "classify", "parameters": {"model": "c.json", "scores": "t.jsonl", "output_labels": "labels", "output_probabilities": "probs"}},
             {"type": "train_ngram", "parameters": {"data": "in.a", "model": "lm.arpa", "parameters": {"norder": 3}}},
         ],
     }
@@ -173,7 +176,7 @@ def test_runner(spark, tmp_path, capsys):
     read = lambda n: (tmp_path / n).read_text().splitlines()
     assert read("dd.a") == ["one two", "x", "", "three four five"] and read("ok.a") == ["one two", "x"] and read("so.b")[0] == "eins zwei"
     assert read("pp.a") == ["0ne two", "x"] and read("w.txt") == ["hello"] and read("codes")[0] == "#version: 0.2"
-    assert "\\3-grams:" in read("lm.arpa")
+    assert "\\3-grams:" in read("lm.arpa") and set(read("labels")) <= {"0", "1"} and len(read("probs")) == 5
     own = FilterPipeline.of([{"CrossEntropyFilter": {"lm_params": [{"filename": "lm.arpa"}]}}], str(tmp_path))
     known, odd = (r.score[0][0] for r in own.score(corpus(spark, ["one two", "qqqq zzzz"])).orderBy("idx").collect())
     assert 0 < known < 60 and odd >= 0

@@ -81,7 +81,7 @@ def split(corpus: ParallelCorpus, divisor: int, threshold: int = 1, hasher: Segm
 
 
 def remove_duplicates(corpus: ParallelCorpus, hasher: SegmentHasher | None = None) -> ParallelCorpus:
-    """The first line of each key. Keys are compared as strings, so no two keys collide.
+    """The first line of each key. Keys are compared by their SHA-256, not by a short hash that could collide.
 
     First lines are found by a partial aggregation of (key digest, idx), which keeps hot keys small before the shuffle;
     texts travel once, to be joined by idx.

@@ -44,7 +44,7 @@ KEYS: dict[str, tuple[str, str]] = {
     "train_alignment": ("src_data tgt_data output", "parameters scores"),
     "train_nearest_neighbors": ("inputs languages output", "n_neighbors algorithm metric"),
     "train_classifier": ("training_scores model criterion features", "dev_scores model_type model_parameters optimization"),
-    "classify": ("model scores", "output_probabilities output_labels"),
+    "classify": ("model scores", "output_probabilities output_labels true_label chunksize"),
     "download": ("output url", ""),
     "write": ("output data", ""),
 }
@@ -216,14 +216,20 @@ class Runner:
         dev = steps.flatten(self._scores(p["dev_scores"])) if p.get("dev_scores") else None
         trainer = Trainer(steps.flatten(self._scores(p["training_scores"])), p["features"], dev, p.get("model_type"), p.get("model_parameters"))
         search = p.get("optimization") or {}
-        model, value, quantiles, _ = trainer.find(p["criterion"], search.get("method", "default"), search.get("options"))
+        model, value, quantiles, _ = trainer.find(p["criterion"], search.get("algorithm", "default"), search.get("options"))
         log.info("criterion %s, quantiles %s", value, quantiles)
         model.save(self.path(p["model"]))
 
     def do_classify(self, p: dict[str, Any]) -> None:
-        from weftline.operators.classify import Classifier
-
-        found = Classifier.load(self.path(p["model"])).classify(steps.flatten(self._scores(p["scores"])))
+        from weftline.operators.classify import Classifier, roc_auc
+
+        scores = steps.flatten(self._scores(p["scores"]))
+        found = Classifier.load(self.path(p["model"])).classify(scores)
+        if p.get("true_label"):
+            known = scores.select("idx", F.col(f"`{p['true_label']}`").cast("int").alias("truth"))
+            both = found.join(known, "idx")
+            share = both.agg(F.avg((F.col("label") == F.col("truth")).cast("double"))).first()[0]
+            log.info("accuracy %s, area under the curve %s", share, roc_auc(both.select(F.col("truth").alias("label"), F.col("probability").alias("p"))))
         if p.get("output_probabilities"):
             text.write_lines(found.select("idx", F.format_string("%.10f", "probability").alias("value")), "value", self.path(p["output_probabilities"]))
         if p.get("output_labels"):
