@@ -123,6 +123,45 @@ def test_url_grams_are_counted_once_per_place():
     assert sum(v for k, v in accepted.items() if k >= 0) == sum(n - m for m in range(urls.ORDER + 1))
 
 
+def plain_differences(labelled, texts):
+    """Both models with exact counts in dictionaries."""
+    marks = lambda t: [urls.START] * urls.ORDER + [ord(c) for c in t] + [urls.END]
+    counts, totals = [Counter(), Counter()], [0, 0]
+    for text, blocked in labelled:
+        s = marks(text)
+        totals[blocked] += len(s)
+        counts[blocked].update(tuple(s[i - m : i + 1]) for m in range(urls.ORDER + 1) for i in range(m, len(s)))
+    out = []
+    for text in texts:
+        s, sums = marks(text), [0.0, 0.0]
+        for c in (0, 1):
+            for i in range(urls.ORDER, len(s)):
+                p = (counts[c][(s[i],)] + urls.MU / 1000) / (totals[c] + urls.MU)
+                for m in range(1, urls.ORDER + 1):
+                    p = min(1.0, (counts[c][tuple(s[i - m : i + 1])] + urls.MU * p) / (counts[c][tuple(s[i - m : i])] + urls.MU))
+                sums[c] += np.log(p)
+        out.append((sums[0] - sums[1]) / (len(s) - urls.ORDER))
+    return np.array(out)
+
+
+def test_url_grams_never_share_counts(spark):
+    """Over a million distinct grams, more than any fixed number of slots would hold apart, score as plain dictionaries do."""
+    draw = np.random.default_rng(11)
+    make = lambda: "".join(map(chr, draw.integers(0x4E00, 0x9FFF, 14)))
+    labelled = [(f"{make()}.com/{'de' if i % 2 else 'fr'}/{make()}", bool(i % 2)) for i in range(12_000)]
+    free = [f"{t[: 4 + i % 10]}.net/{labelled[i + 1][0][-8:]}" for i, (t, _) in enumerate(labelled[:300])] + ["", "\U0001f600.net/\U0010ffff"]
+    pages = spark.createDataFrame([(i, "http://" + t) for i, t in enumerate([t for t, _ in labelled] + free)], "page_id long, url string")
+    got = urls.judge(pages).where(f"page_id >= {len(labelled)}").orderBy("page_id").collect()
+    used, held = ([(t, b) for t, b in labelled if (zlib.crc32(t.encode()) % urls.HELD == 0) == h] for h in (False, True))
+    d, bins = plain_differences(used, [t for t, _ in held] + free), urls.BINS
+    at = np.floor(np.clip(d[: len(held)], -2, 1.999) * (bins / 4)).astype(int) + bins // 2
+    hist = [np.bincount(at[[b == c for _, b in held]], minlength=bins) for c in (False, True)]
+    slope, intercept = urls.fit_line((np.arange(bins) - bins // 2 + 0.5) / (bins / 4), *hist)
+    want = 1 / (1 + np.exp(-(slope * d[len(held) :] + intercept)))
+    assert np.abs(np.array([r.score for r in got]) - want).max() < 1e-3
+    assert len({s[i - m : i + 1] for s, _ in used for m in range(6) for i in range(m, len(s))}) > 1 << 20
+
+
 def test_boosting_and_isotonic():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(2000, 3))

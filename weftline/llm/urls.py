@@ -4,8 +4,9 @@ URLs that a rule allows or blocks train two variable-order Markov models, one a
 through its contexts, longest first: ``P_k = (n(context, c) + MU * P_(k-1)) / (n(context) + MU)``. The length-normalised
 difference of the two log-likelihoods, calibrated on labelled URLs that the models haven't seen, decides.
 
-Counts cover every labelled URL and are summed by Spark. The models live in hashed tables of a fixed number of slots, so
-what is broadcast (``SLOTS`` x 2 counts of 8 bytes) doesn't grow with the data; counts that share a slot act as smoothing.
+Counts cover every labelled URL and are summed by Spark, a row for each distinct gram in a table that grows with the data. A
+gram's key holds its symbols themselves, 21 bits each, so no two grams share counts. URLs are scored in blocks: each block's
+distinct grams are joined with the table, and the answers meet the block's rows in one task; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SLOT_BITS, MU, BINS, HELD = 5, 20, 2.0, 2000, 5
-SLOTS = 1 << SLOT_BITS
+from weftline.llm.common import keep
+
+ORDER, MU, BINS, HELD, BLOCK_BITS = 5, 2.0, 2000, 5, 13
 START, END = 0x110000, 0x110001
+#: A gram's key: six symbols of 21 bits, each more by one, so that shorter grams differ from longer ones; -1 for the totals.
+KEY, WIDTH = pa.decimal128(38, 0), np.uint64(21)
 
 #: (verdict, host and path)
 RULES = (
@@ -76,65 +80,110 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _slots(symbols: np.ndarray) -> list[np.ndarray]:
-    """For each length 1..ORDER + 1, the slot of the gram that ends at each place (junk where it would start before 0)."""
-    base, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-    grams, out = np.zeros(len(symbols), np.uint64), []
-    with np.errstate(over="ignore"):
-        one = (symbols + np.uint64(1)) * mix
-        for m in range(ORDER + 1):
-            shifted = np.concatenate([np.zeros(1, np.uint64), grams[:-1]]) if m else grams
-            grams = (shifted + np.uint64(m)) * base + one
-            mixed = (grams ^ (grams >> np.uint64(31))) * mix
-            out.append((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+def _grams(symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length 1..ORDER + 1 which gram ends at each place (junk where it would start before 0), and the grams' keys.
+
+    Keys are rows of a low and a high half of 64 bits, distinct within a length; a place's gram is a row number.
+    """
+    codes, sign = np.unique(symbols + np.uint64(1), return_inverse=True)
+    low, high = codes[sign], np.zeros(len(symbols), np.uint64)
+    which, out = sign, [(sign, np.stack([codes, np.zeros(len(codes), np.uint64)], axis=1))]
+    for _ in range(ORDER):
+        before = np.append(np.int64(0), which[:-1])
+        high = (np.append(np.uint64(0), high[:-1]) << WIDTH) | (np.append(np.uint64(0), low[:-1]) >> np.uint64(64) - WIDTH)
+        low = (np.append(np.uint64(0), low[:-1]) << WIDTH) | codes[sign]
+        _, first, which = np.unique(before * len(codes) + sign, return_index=True, return_inverse=True)
+        out.append((which, np.stack([low[first], high[first]], axis=1)))
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of keys, and each row's number among them."""
+    order = np.lexsort((keys[:, 0], keys[:, 1]))
+    new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1))[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[order][new], number
+
+
+def _to_arrow(keys: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(KEY, len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
+def _from_arrow(keys: pa.Array) -> np.ndarray:
+    return np.frombuffer(keys.buffers()[1], np.uint64, 2 * len(keys), 16 * keys.offset).reshape(-1, 2)
+
+
+def _places(first: np.ndarray, n: int) -> np.ndarray:
+    return np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+
+
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: a partition's counts as (slot, accepted, rejected); slot -1 - class holds the number of symbols."""
-    tables = np.zeros((2, SLOTS), np.int64)
-    totals = np.zeros(2, np.int64)
+    """Kernel: a batch's counts as (slot, accepted, rejected); slot is a gram's key, and -1 holds the number of symbols."""
     for batch in batches:
         texts, blocked = batch["rest"].to_pylist(), np.array(batch["blocked"].to_pylist(), bool)
+        keys, counts = [np.full((1, 2), 2**64 - 1, np.uint64)], [np.zeros((2, 1), np.int64)]
         for c in (0, 1):
             own = [t for t, b in zip(texts, blocked, strict=True) if b == c]
             if not own:
                 continue
             symbols, first = _symbols(own)
-            place = np.arange(len(symbols)) - np.repeat(first, np.diff(np.append(first, len(symbols))))
-            totals[c] += len(symbols)
-            for m, slots in enumerate(_slots(symbols)):
-                tables[c] += np.bincount(slots[place >= m], minlength=SLOTS)
-    used = np.flatnonzero(tables.any(axis=0))
-    slots = np.append(used, [-1])
-    counts = np.concatenate([tables[:, used], totals[:, None]], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[0]), pa.array(counts[1])], ["slot", "accepted", "rejected"])
-
-
-class Models:
-    """Both classes' tables; ``difference`` scores texts."""
-
-    def __init__(self, tables: np.ndarray, totals: np.ndarray) -> None:
-        self.tables, self.totals = tables, totals
-
-    def difference(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood under accepted minus under rejected, per symbol."""
-        if not texts:
-            return np.zeros(0)
-        symbols, first = _symbols(texts)
-        slots, logs = _slots(symbols), []
-        for c in (0, 1):
-            table = self.tables[c].astype(np.float64)
-            p = (table[slots[0]] + MU / 1000) / (self.totals[c] + MU)
-            for m in range(1, ORDER + 1):
-                context = np.append(0.0, table[slots[m - 1]][:-1])
-                p = np.minimum(1.0, (table[slots[m]] + MU * p) / (context + MU))
-            logs.append(np.log(p))
-        gain = logs[0] - logs[1]
-        n = np.diff(np.append(first, len(symbols)))
-        place = np.arange(len(symbols)) - np.repeat(first, n)
-        gain[place < ORDER] = 0.0  # start marks
-        return np.add.reduceat(gain, first) / (n - ORDER)
+            place = _places(first, len(symbols))
+            counts[0][c] = len(symbols)
+            for m, (which, grams) in enumerate(_grams(symbols)):
+                n = np.zeros((2, len(grams)), np.int64)
+                n[c] = np.bincount(which[place >= m], minlength=len(grams))
+                keys.append(grams[n[c] > 0])
+                counts.append(n[:, n[c] > 0])
+        found, number = _distinct(np.concatenate(keys))
+        both = np.zeros((len(found), 2), np.int64)
+        np.add.at(both, number, np.concatenate(counts, axis=1).T)
+        yield pa.RecordBatch.from_arrays([_to_arrow(found), pa.array(both[:, 0]), pa.array(both[:, 1])], ["slot", "accepted", "rejected"])
+
+
+def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: (block, slot) of the grams that a batch's rows need, each once."""
+    for batch in batches:
+        blocks, texts = batch["block"].to_numpy(), batch["rest"].to_pylist()
+        for block in np.unique(blocks).tolist():
+            symbols, first = _symbols([texts[i] for i in np.flatnonzero(blocks == block)])
+            place = _places(first, len(symbols))
+            keys = np.concatenate([grams[np.unique(which[place >= m])] for m, (which, grams) in enumerate(_grams(symbols))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), _to_arrow(keys)], ["block", "slot"])
+
+
+def difference(texts: list[str], keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-likelihood under accepted minus under rejected, per symbol. ``counts`` has a column for each of ``keys``."""
+    if not texts:
+        return np.zeros(0)
+    symbols, first = _symbols(texts)
+    grams, logs = _grams(symbols), []
+    cuts = np.cumsum([len(keys), *(len(g) for _, g in grams)])
+    found, number = _distinct(np.concatenate([keys, *(g for _, g in grams)]))
+    table = np.zeros((2, len(found)))
+    table[:, number[: len(keys)]] = counts
+    at = [number[a + which] for a, (which, _) in zip(cuts[:-1], grams, strict=True)]
+    for c in (0, 1):
+        p = (table[c][at[0]] + MU / 1000) / (totals[c] + MU)
+        for m in range(1, ORDER + 1):
+            context = np.append(0.0, table[c][at[m - 1]][:-1])
+            p = np.minimum(1.0, (table[c][at[m]] + MU * p) / (context + MU))
+        logs.append(np.log(p))
+    gain = logs[0] - logs[1]
+    gain[_places(first, len(symbols)) < ORDER] = 0.0  # start marks
+    return np.add.reduceat(gain, first) / (np.diff(np.append(first, len(symbols))) - ORDER)
+
+
+def _score(totals: np.ndarray):
+    """Kernel: a block's rows with ``d``, from its rows and the counts of its grams (repeated where two batches asked)."""
+
+    def kernel(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros((0, 2), np.uint64), *(_from_arrow(c) for c in answers["slot"].chunks)])
+        counts = np.stack([answers[c].to_numpy() for c in ("accepted", "rejected")])
+        d = difference(rows["rest"].to_pylist(), keys, counts, totals)
+        return rows.drop_columns(["block", "rest"]).append_column("d", pa.array(d, pa.float64()))
+
+    return kernel
 
 
 def fit_line(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
@@ -163,35 +212,28 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     both classes every score is 0.5 and what no rule decides is allowed. Repeated rows get equal answers; other columns
     are ignored; an empty table gives an empty result.
     """
-    spark = pages.sparkSession
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(rest_of(url), F.lit("")).alias("rest"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = rows.where("rule is not null").select("rest", (verdict_of(F.col("rule"), rules) == "block").alias("blocked"))
-    held = F.crc32("rest") % HELD == 0
-    counts = labelled.where(~held).mapInArrow(count_grams, "slot long, accepted long, rejected long")
-    found = counts.groupBy("slot").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).toArrow()
-    tables, slots = np.zeros((2, SLOTS), np.int64), found["slot"].to_numpy()
-    both = np.stack([found["accepted"].to_numpy(), found["rejected"].to_numpy()]) if len(slots) else np.zeros((2, 0), np.int64)
-    tables[:, slots[slots >= 0]] = both[:, slots >= 0]
-    totals = both[:, slots < 0].sum(axis=1)
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("held", F.crc32("rest") % HELD == 0)
+    rows = keep(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "urls")
+    blocked = (verdict_of(F.col("rule"), rules) == "block").alias("blocked")
+    counts = rows.where("rule is not null and not held").select("rest", blocked).mapInArrow(count_grams, "slot decimal(38,0), accepted long, rejected long")
+    counts = keep(counts.groupBy("slot").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
+    symbols = counts.where("slot = -1").first()
+    totals = np.array([symbols["accepted"], symbols["rejected"]] if symbols else [0, 0])
     known = bool((totals > 0).all())
-    shared = spark.sparkContext.broadcast(Models(tables, totals))
-
-    def differences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(shared.value.difference(texts.to_pylist()) if known else np.zeros(len(texts)), pa.float64())
-
-    difference = F.arrow_udf(differences, "double")
     slope, intercept = 1.0, 0.0
+    scored = rows.drop("block", "rest").withColumn("d", F.lit(0.0))
     if known:
-        at = F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(1.999), difference("rest"))) * (BINS / 4)).cast("int")
-        binned = labelled.where(held).select("blocked", at.alias("bin")).groupBy("blocked", "bin").count().collect()
+        asked = rows.select("block", "rest").mapInArrow(ask_grams, "block long, slot decimal(38,0)")
+        answers = asked.join(counts, "slot").select("block", "slot", "accepted", "rejected")
+        scored = keep(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(totals), scored.schema), "scored")
+        at = F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(1.999), F.col("d"))) * (BINS / 4)).cast("int")
+        binned = scored.where("rule is not null and held").select(blocked, at.alias("bin")).groupBy("blocked", "bin").count().collect()
         hist = np.zeros((2, BINS))
         for r in binned:
             hist[int(r["blocked"]), r["bin"] + BINS // 2] += r["count"]
         slope, intercept = fit_line((np.arange(BINS) - BINS // 2 + 0.5) / (BINS / 4), hist[0], hist[1])
-    scored = rows.withColumn("d", difference("rest"))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("d") + F.lit(intercept))))
     return scored.withColumn("score", F.round(score, 9)).select(
         "page_id",
