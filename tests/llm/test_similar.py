@@ -94,6 +94,20 @@ def test_one_of_each(spark):
     assert similar.one_of_each(no_docs(spark)).count() == 0
 
 
+def test_one_of_each_decides_row_by_row(spark):
+    """Nulls and repeated ids: a row goes only if it links itself, and one row of each component stays."""
+    a, b, c = ("a b c d e f g p q", "a b c d e f g x y"), "h i j k l m n", "r s t u v w z"
+    linked, alone = [(None, a[0]), (1, a[1])], [(None, "only this one text"), (None, ""), (None, None)]
+    repeated = [(5, b), (5, "unlike all others here"), (2, b), (7, c), (7, c), (None, "o p o p q"), (None, "o p o p q")]
+    pairs = linked + alone + repeated
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(pairs)], "doc_id long, text string, n int")
+    left = similar.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted((repr(r.doc_id), repr(r.text)) for r in left.collect())
+    want = [(1, a[1]), *alone, (5, "unlike all others here"), (2, b), (7, c), (None, "o p o p q")]
+    assert got == sorted((repr(i), repr(t)) for i, t in want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200), (7, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

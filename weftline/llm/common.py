@@ -84,11 +84,17 @@ def sample_ids(ids: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     return ids.where(F.crc32(F.concat(F.lit("s"), F.col(id_col).cast("string"))) < bound)
 
 
+def is_key(docs: DataFrame, id_col: str) -> bool:
+    """Whether each row has an id of its own."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    seen = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull().cast("int")).alias("absent")).first()
+    return (seen["most"] or 0) <= 1 and not seen["absent"]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, doc_id, text. The id is the key where it is one; else rows get numbers in a written copy of the table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    seen = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull().cast("int")).alias("absent")).first()
-    if (seen["most"] or 0) <= 1 and not seen["absent"]:
+    if is_key(docs, id_col):
         return rows.withColumn("key", F.col("doc_id"))
     return keep(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
 

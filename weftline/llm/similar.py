@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import golomb
-from weftline.llm.common import components, keep, keyed, slices
+from weftline.llm.common import components, is_key, keep, keyed, slices, text_of
 from weftline.llm.substrings import hashes
 
 NUM, DEN = 60, 100
@@ -345,11 +345,15 @@ def similar(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     repeated rows link with each other; a component's id is its smallest id that isn't null. Other columns are ignored; an
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+    return decided(keyed(docs, id_col, text_col), size).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
+def decided(rows: DataFrame, size: int = 2) -> DataFrame:
+    """What ``similar`` tells of each row of key, doc_id, text, with its key and ``stays``: whether it is its component's
+    first row by id, nulls last, and then by key."""
     signed = keep(rows.select("key", "doc_id", "text").mapInArrow(_signatures(size), "key long, doc_id long, n long, sig binary"), "signatures")
     some = signed.where("sig is not null")
-    classes = some.groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = some.groupBy("sig").agg(F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = keep(classes, "classes")
     # all but the representatives leave; where they are few, a broadcast spares the shuffle of all texts
     extra = some.join(classes.select("key"), "key", "left_anti").select("key").unionByName(signed.where("sig is null").select("key"))
@@ -389,25 +393,30 @@ def similar(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     groups = components(links.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     found = classes.join(sums, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
     found = found.select("sig", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
-    smallest = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(smallest, "component").select("sig", (F.col("links") + F.col("copies") - 1).alias("n_similar"), "component_id")
+    smallest = found.groupBy("component").agg(F.min("least").alias("first"))
+    found = found.join(smallest, "component").select("sig", (F.col("links") + F.col("copies") - 1).alias("n_similar"), "first")
     # a class of very many copies must not meet in one task: rows go by (class, salt), answers to every salt in use
     salted = signed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)).cast("int"))
     spots = salted.where("sig is not null").select("sig", "salt").distinct().join(found, "sig")
     done = salted.join(spots, ["sig", "salt"], "left")
     return done.select(
+        "key",
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
-        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (F.col("sig").isNull() | (F.col("first.key") == F.col("key"))).alias("stays"),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component the row with its smallest id, and rows without
-    words. Ids of ``docs`` must be unique where rows link."""
-    found = keep(similar(docs), "similar")
-    gone = keep(found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")), "gone")
+    """The rows of ``docs`` that stay, with their columns: of each component one row, the first with its smallest id, and
+    all rows without words. Rows are decided one by one, also where ids are null or repeat."""
+    key = F.col("doc_id").cast("long")
+    if not is_key(docs, "doc_id"):
+        docs, key = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), F.col("__row")
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    gone = keep(decided(rows).where("not stays").select(F.col("key").alias("__gone")), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, key == F.col("__gone"), "left_anti").drop("__row")
