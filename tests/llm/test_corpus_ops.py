@@ -204,6 +204,31 @@ def test_quality_held_out(spark):
     assert sum(not r.kept for r in bad) / len(bad) > 0.8, sum(not r.kept for r in bad) / len(bad)
 
 
+def test_quality_searches_all_unlabelled_rows(spark):
+    """Over 30,000 unlabelled rows all take part in the search for pseudo-labels, repeated and null ids too."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(32_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id") % 97).alias("text"), F.lit("xx").alias("lang"), (F.col("id") % 7).cast("string").alias("source"), F.lit(7).alias("n_chars"))
+    docs = docs.unionByName(docs.where("doc_id = 31999")).unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 > 2).cast("int").alias("quality"))
+    assert quality.fit(docs, labels, rounds=1).searched == 32_000 - 400 + 2
+
+
+def test_wide_trees_are_the_trees_of_one_table():
+    draw = np.random.default_rng(4)
+    x = np.round(draw.normal(size=(3000, 4)), 2)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    one = boost.Trees(20).fit(x, y)
+    wide = boost.WideTrees(one.cuts, 20)
+    wide.start(y.sum(), len(y))
+    bins = wide.bin(x)
+    for _ in range(20):
+        for level in range(wide.depth):
+            f = wide.binned_margin(bins)
+            wide.add_level(sum(wide.sums(bins[p], y[p], 1.0, f[p], level) for p in (slice(0, 1700), slice(1700, 3000))), level)
+    assert np.abs(wide.margin(x) - one.margin(x)).max() < 1e-6 and np.abs(wide.binned_margin(bins) - one.margin(x)).max() < 1e-6
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = odd_docs(spark)
