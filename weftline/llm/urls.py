@@ -6,7 +6,7 @@ difference of the two log-likelihoods, calibrated on labelled URLs that the mode
 
 Counts cover every labelled URL and are summed by Spark, a row for each distinct gram in a table that grows with the data. A
 gram's key holds its symbols themselves, 21 bits each, so no two grams share counts. URLs are scored in blocks: each block's
-distinct grams are joined with the table, and the answers meet the block's rows in one task; nothing is broadcast.
+distinct grams are joined with the table, and the answers meet the block's rows in one task.
 """
 
 from __future__ import annotations
