@@ -3,14 +3,20 @@
 Two documents link when their sets of word shingles have a Jaccard similarity of at least ``NUM`` / ``DEN``.
 
 1. Documents with equal sets form a class; one representative goes on, so copies are never expanded into pairs.
-2. Blocks of documents exchange Golomb-coded tokens with owners of hash ranges and learn how common each token is. Rare
-   tokens come first in every set; those of one set alone can't join anything and stay out of the index.
-3. Prefixes go into index lists. A list is split into salted parts where it is long, and its entries lie in blocks by
-   position: for a probing entry, a block allows only sizes in an interval, and an empty interval skips the block.
-4. Candidates name cells: pairs of chunks of similar sets. A cell's sets meet in one task, in an order that puts similar
-   sets beside each other, and each set's overlaps are derived from those of the set before it by their difference.
-   A cell reports link counts and a spanning forest, not pairs.
-5. The forests' components are contracted by Spark joins.
+2. Classes that share a sketch meet in chunks, and sets close to a leader form a group with it. Overlaps inside a chunk are
+   derived from those of the set before by the difference, and a group's own links are settled there. From here on an item is
+   a group, which stands for the union of its sets, or a single set.
+3. Blocks of items exchange Golomb-coded tokens with owners of hash ranges and learn how many items hold each token. Rare
+   tokens come first in every item; those of one item alone can't join anything and stay out of the index.
+4. Prefixes go into index lists. A long list is split into parts that meet pairwise, each meeting in a place of its own. A
+   list's entries lie in blocks by position: a block whose largest slack is below a probe's size is skipped, others allow
+   sizes in an interval. Pairs of items come out, never pairs of their sets.
+5. Pairs name cells: two chunks of similar items. A cell's sets meet in one task, in an order that puts similar sets beside
+   each other, with overlaps derived as in 2. A cell reports link counts and a spanning forest, not pairs.
+6. The forests' components are contracted by Spark joins.
+
+Tokens are cut to ``BITS`` bits on the way through 3 and 4. An item knows how many of its tokens the cut merged and asks for
+that much less overlap, so no link is lost; links are decided on 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -20,24 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import golomb
 from weftline.llm.common import components, is_key, keep, keyed, slices, text_of
-from weftline.llm.substrings import hashes
+from weftline.llm.substrings import forget, hashes
 
 NUM, DEN = 60, 100
-BITS, OWNED, BLOCK_BYTES = 40, 2_000_000, 4 << 20
-#: Entries of a part of an index list, tokens of a chunk.
-PART, CHUNK = 2048, 1 << 18
-#: Candidate pairs that a task holds to drop those that come again.
-HELD = 4_000_000
+#: Sets of at least this similarity (in percent) to a leader join its group.
+LEAD = 70
+BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 1_000_000, 4 << 20, 1 << 19
+#: Entries of a part of an index list; weight of a chunk and of what a task takes at once, a set weighing its tokens and EACH.
+PART, CHUNK, BIN, EACH = 8192, 1 << 18, 1 << 20, 256
+#: Candidate pairs expanded at once, and those that a task holds to drop those that come again.
+EXPAND, HELD = 1 << 19, 1 << 20
 BROADCAST_ROWS = 500_000
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_TURNS = np.array([1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SHARE = NUM / (NUM + DEN)  # a link shares at least this part of both sizes' sum
+_TINY = 1e-9
 
 
 def shingles(text: bytes, size: int = 2) -> np.ndarray:
@@ -59,9 +69,26 @@ def shingles(text: bytes, size: int = 2) -> np.ndarray:
         return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """How many of a set's first tokens must hold one that a linked set's prefix shares."""
-    return n - (NUM * n + DEN - 1) // DEN + 1
+def cut(tokens: np.ndarray) -> np.ndarray:
+    """Distinct tokens of ``BITS`` bits."""
+    return np.unique(tokens >> np.uint64(64 - BITS))
+
+
+def sketches(tokens: np.ndarray) -> list[int]:
+    """For each of ``_TURNS`` the two least tokens under that turn, in one number. Similar sets are likely to share one."""
+    out = []
+    with np.errstate(over="ignore"):
+        for turn in _TURNS:
+            turned = tokens * turn
+            a, b = np.sort(np.partition(turned, 1)[:2]) if len(turned) > 1 else (turned[0], turned[0])
+            out.append(int(((a * _B) ^ b) * _MIX) - (1 << 63))
+    return out
+
+
+def prefix_length(size: np.ndarray, least: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """How many of an item's first tokens must hold one that a linked item's prefix shares: a link shares at least ``NUM`` /
+    ``DEN`` of the smaller set, less what the cut merged."""
+    return np.clip(size - ((NUM * least + DEN - 1) // DEN - lost) + 1, 0, size)
 
 
 def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -71,12 +98,15 @@ def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
 def _signatures(size: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            n, sig, marks = [], [], []
             for text in batch["text"].cast(pa.large_binary()):
                 s = shingles(text.as_py(), size)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *columns], ["key", "doc_id", "n", "sig"])
+                n.append(len(s))
+                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                marks.append(sketches(s) if len(s) else None)
+            columns = [pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *columns], ["key", "doc_id", "n", "sig", "marks"])
+        forget()
 
     return kernel
 
@@ -91,27 +121,50 @@ def _unpack40(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blocks(size: int):
-    """Kernel: rows of many sets each: a block's name, its keys, set sizes and tokens."""
+_BLOCK = "block long, items array<long>, least array<int>, most array<int>, lost array<int>, sizes array<int>, tokens binary"
+
+
+def _block(items: list[int], least: list[int], most: list[int], whole: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """One row: a block's name, its items with their least and greatest set sizes, tokens that the cut merged, and tokens."""
+    sizes = np.array([len(s) for s in sets])
+    name = xxhash.xxh3_64_intdigest(np.array(items, np.int64).tobytes()) >> 1
+    lists = [least, most, (np.array(whole) - sizes).tolist(), sizes.tolist()]
+    columns = [pa.array([name], pa.int64()), pa.array([items], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.int32())) for x in lists)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([_pack40(np.concatenate(sets))], pa.binary())], ["block", "items", "least", "most", "lost", "sizes", "tokens"])
+
+
+def _single_blocks(size: int):
+    """Kernel: blocks of single sets."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch["text"], BLOCK_BYTES):
-                sets = [np.unique(shingles(t, size) >> np.uint64(64 - BITS)) for t in texts]
-                keys = batch["key"].slice(at, len(texts))
+                sets = [shingles(t, size) for t in texts]
                 n = [len(s) for s in sets]
-                name = xxhash.xxh3_64_intdigest(np.array(keys.to_pylist(), np.int64).tobytes()) >> 1
-                data = _pack40(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32())), pa.array([data], pa.binary())],
-                    ["block", "keys", "sizes", "tokens"],
-                )
+                yield _block(batch["key"].slice(at, len(texts)).to_pylist(), n, n, n, [cut(s) for s in sets])
+        forget()
 
     return kernel
 
 
+def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel: blocks of groups, each as the union of its sets."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int, np.ndarray]] = []
+        total = 0
+        for item, least, most, data in zip(*(batch[c] for c in ("item", "least", "most", "tokens")), strict=True):
+            union = np.unique(np.frombuffer(data.as_buffer(), np.uint64))
+            rows.append((item.as_py(), least.as_py(), most.as_py(), len(union), cut(union)))
+            total += len(union)
+            if total >= BLOCK_TOKENS:
+                yield _block(*map(list, zip(*rows, strict=True)))
+                rows, total = [], 0
+        if rows:
+            yield _block(*map(list, zip(*rows, strict=True)))
+
+
 def _ask(owners: int):
-    """Kernel: each block's distinct tokens and how many of its sets hold them, coded for their owners."""
+    """Kernel: each block's distinct tokens and how many of its items hold them, coded for their owners."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = golomb.bounds(owners, BITS)
@@ -128,7 +181,7 @@ def _ask(owners: int):
 
 
 def _answer(owners: int):
-    """Kernel: for each block's tokens a class of how many sets hold them: 0 for one, else 1 and more, rising."""
+    """Kernel: for each block's tokens a class of how many items hold them: 0 for one, else 1 and more, rising."""
 
     def kernel(table: pa.Table) -> pa.Table:
         first, rows = golomb.bounds(owners, BITS), table.to_pylist()
@@ -144,30 +197,35 @@ def _answer(owners: int):
     return kernel
 
 
+_ENTRY = "token long, part int, parts int, item long, least int, most int, room int, place int"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: index entries of each set's prefix, without tokens that no other set holds: token, part of its list, number of
-    parts, key, size, position. How common a token is bounds its list, and so says in how many parts the list is split."""
+    """Kernel: index entries of each item's prefix, without tokens that no other item holds: token, part of its list, number
+    of parts, item, its set sizes, how much overlap there is room for from here on, position. How common a token is bounds
+    its list, and so says in how many parts the list is split."""
     for batch in batches:
         for row in batch.to_pylist():
             tokens = _unpack40(row["tokens"])
-            sizes = np.array(row["sizes"], np.int64)
+            item, least, most, lost, sizes = (np.array(row[c], np.int64) for c in ("items", "least", "most", "lost", "sizes"))
             values, inverse = np.unique(tokens, return_inverse=True)
             parts = sorted(row["answers"], key=lambda a: a["owner"])
             codes = np.frombuffer(b"".join(zlib.decompress(a["codes"]) for a in parts), np.uint8)
-            assert len(codes) == len(values), "answers don't fit their block"
+            if len(codes) != len(values):
+                raise ValueError("answers don't fit their block")
             code = codes[inverse].astype(np.int64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((tokens, code, doc))
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             tokens, code = tokens[order], code[order]
-            use = (place < prefix_length(sizes)[doc]) & (code > 0)
-            keys = np.array(row["keys"], np.int64)
-            tokens, code, key = tokens[use], code[use], keys[doc[use]]
+            use = (place < prefix_length(sizes, least, lost)[doc]) & (code > 0)
+            tokens, code, doc, place = tokens[use], code[use], doc[use], place[use]
             parts = np.ceil(2.0 ** (1 + code / 8) / PART).astype(np.int64)
             with np.errstate(over="ignore"):
-                part = ((key.view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
-            columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), key, sizes[doc[use]].astype(np.int32), place[use].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "part", "parts", "key", "size", "place"])
+                part = ((item[doc].view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
+            narrow = [x.astype(np.int32) for x in (least[doc], most[doc], (sizes + lost)[doc] - place, place)]
+            columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), item[doc], *narrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,88 +235,120 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return probe, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def probe_lists(group: np.ndarray, side: np.ndarray, key: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Candidate pairs (key, key) between entries of one group: within side 0 alone, or from side 0 to side 1.
+def probe_lists(group: np.ndarray, side: np.ndarray, item: np.ndarray, least: np.ndarray, most: np.ndarray, room: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (places in the arrays) between entries of one group: within side 0 alone, or from side 0 to side 1.
 
-    Entries are sorted by group, block of positions and size. A probe of size s at place p and an entry of size z in the
-    block of places from b on can share at most min(s - p, z - b) tokens, so a block allows sizes in one interval only.
+    A link between sets of items with least sizes m and n shares at least ``_SHARE`` * (m + n) tokens, and each side has at
+    most ``room`` left. So an entry's slack, room / _SHARE - n, bounds the m that it can answer. Entries lie in blocks of
+    positions, sorted by least size; a block whose largest slack is below m is skipped, and in others one interval is read.
     """
     band = np.frexp(place + 1.0)[1].astype(np.int64) - 1  # block: places 2**band - 1 and on
-    top = int(band.max(initial=0)) + 1
-    wide = int(size.max(initial=0)) + 2
+    top, wide = int(band.max(initial=0)) + 1, int(least.max(initial=0)) + 2
     two = np.zeros(int(group.max(initial=-1)) + 1, bool)
     two[group[side == 1]] = True
-    target = np.where(two[group], side == 1, True)
-    own = np.flatnonzero(target)
-    code = (group * top + band) * wide + size
-    own = own[np.argsort(code[own], kind="stable")]
-    codes = code[own]
+    slack = np.floor(room / _SHARE - least + _TINY).astype(np.int64)
+    own = np.flatnonzero(np.where(two[group], side == 1, True))
+    own = own[np.argsort(((group * top + band) * wide + least)[own], kind="stable")]
+    block = (group * top + band)[own]
+    codes = block * wide + least[own]
+    largest = np.full((len(two) + 1) * top, -1)
+    np.maximum.at(largest, block, slack[own])
+    spread = float((most / np.maximum(least, 1)).max(initial=1.0))
     probes = np.flatnonzero(side == 0)
-    s, p = size[probes], place[probes]
-    found = []
-    share = NUM / (NUM + DEN)  # a link shares at least this part of both sizes' sum
     for b in range(top):
-        start = (1 << b) - 1
-        least = np.maximum(np.ceil(NUM * s / DEN - 1e-9), np.ceil((start + share * s) / (1 - share) - 1e-9))
-        most = np.minimum(np.floor(DEN * s / NUM + 1e-9), np.floor((s - p) / share - s + 1e-9))
-        some = np.flatnonzero(least <= most)
+        blocks = group[probes] * top + b
+        some = np.flatnonzero(largest[blocks] >= least[probes])
         if not len(some):
             continue
-        base = (group[probes[some]] * top + b) * wide
-        lo = np.searchsorted(codes, base + np.minimum(least[some], wide - 1).astype(np.int64))
-        hi = np.searchsorted(codes, base + np.minimum(most[some], wide - 1).astype(np.int64), side="right")
-        probe, entry = _ranges(lo, hi)
-        i, j = probes[some[probe]], own[entry]
-        room = np.minimum(size[i] - place[i], size[j] - place[j])
-        ok = (room >= share * (size[i] + size[j]) - 1e-9) & (key[i] != key[j])
-        ok &= two[group[i]] | (key[i] < key[j])
-        found.append(np.stack([np.minimum(key[i], key[j])[ok], np.maximum(key[i], key[j])[ok]], axis=1))
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    return np.unique(np.concatenate(found), axis=0)
+        p, base = probes[some], blocks[some] * wide
+        low = np.ceil(NUM * least[p] / DEN / spread - _TINY).astype(np.int64)
+        high = np.minimum(np.floor(DEN * most[p] / NUM + _TINY).astype(np.int64), slack[p])
+        lo = np.searchsorted(codes, base + np.clip(low, 0, wide - 1))
+        hi = np.searchsorted(codes, base + np.clip(high, -1, wide - 1), side="right")
+        upto = np.cumsum(np.maximum(hi - lo, 0))
+        at = 0
+        while at < len(p):
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + EXPAND, side="right")))
+            probe, entry = _ranges(lo[at:end], hi[at:end])
+            i, j = p[at:end][probe], own[entry]
+            need = _SHARE * (least[i] + least[j]) - _TINY
+            ok = (room[i] >= need) & (room[j] >= need) & (NUM * least[i] <= DEN * most[j]) & (NUM * least[j] <= DEN * most[i])
+            ok &= (item[i] != item[j]) & (two[group[i]] | (item[i] < item[j]))
+            if ok.any():
+                yield i[ok], j[ok]
+            at = end
+
+
+class _Pairs:
+    """Distinct pairs of numbers, each pair one 64-bit code of two local numbers while they are few."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append(self._distinct(np.minimum(a, b), np.maximum(a, b)))
+        self.n += len(self.parts[-1])
+
+    @staticmethod
+    def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        codes = np.unique(inverse[: len(a)] * len(ids) + inverse[len(a) :])
+        return np.stack([ids[codes // len(ids)], ids[codes % len(ids)]], axis=1) if len(codes) else np.zeros((0, 2), np.int64)
+
+    def merge(self) -> None:
+        pairs = np.concatenate(self.parts)
+        self.parts = [self._distinct(pairs[:, 0], pairs[:, 1])]
+        self.n = len(self.parts[0])
+
+    def flush(self) -> pa.RecordBatch:
+        pairs = np.concatenate(self.parts) if self.parts else np.zeros((0, 2), np.int64)
+        self.parts, self.n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: rows hold a list ``own`` and perhaps another part ``other`` of the same token's list. Pairs that come again
+    """Kernel: rows are entries of index lists, or of two parts of one, in the order of their list. Pairs that come again
     within ``HELD`` pairs of a partition are dropped before they are shuffled."""
-    held: list[np.ndarray] = []
-
-    def flush() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(held), axis=0) if len(held) > 1 else held[0]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    names = ("token", "low", "high", "side", "item", "least", "most", "room", "place")
+    held = _Pairs()
+    rest = {c: np.zeros(0, np.int64) for c in names}
+
+    def search(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, low, high = (columns[c] for c in names[:3])
+        new = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(token)]
+        for i, j in probe_lists(np.cumsum(new) - 1, *(columns[c] for c in names[3:])):
+            held.add(columns["item"][i], columns["item"][j])
+            if held.n > HELD:
+                held.merge()
+                if held.n > HELD // 2:
+                    yield held.flush()
 
     for batch in batches:
-        columns: dict[str, list[np.ndarray]] = {c: [] for c in ("group", "side", "key", "size", "place")}
-        for side, name in enumerate(("own", "other")):
-            lists = batch[name]
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten()
-            columns["group"].append(np.repeat(np.arange(len(n)), n))
-            columns["side"].append(np.full(int(n.sum()), side))
-            for c in ("key", "size", "place"):
-                columns[c].append(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64))
-        held.append(probe_lists(*(np.concatenate(columns[c]) for c in ("group", "side", "key", "size", "place"))))
-        if sum(map(len, held)) > HELD:
-            merged = np.unique(np.concatenate(held), axis=0)
-            held[:] = [merged]
-            if len(merged) > HELD // 2:
-                yield flush()
-    if held:
-        yield flush()
+        columns = {c: np.concatenate([rest[c], batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
+        if not len(columns["token"]):
+            continue
+        last = [columns[c][-1] for c in names[:3]]
+        whole = ~np.logical_and.reduce([columns[c] == x for c, x in zip(names[:3], last, strict=True)])
+        n = int(np.count_nonzero(whole))  # the last list may go on in the next batch
+        rest = {c: columns[c][n:] for c in names}
+        yield from search({c: columns[c][:n] for c in names})
+    yield from search(rest)
+    if held.n:
+        held.merge()
+        yield held.flush()
 
 
 def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of keys that pass the length and position filters at a shared token."""
-    lists = entries.groupBy("token", "part", "parts").agg(F.collect_list(F.struct("key", "size", "place")).alias("own"))
-    empty = F.lit(None).cast("array<struct<key:bigint,size:int,place:int>>")
-    lists = keep(lists.where((F.size("own") > 1) | (F.col("parts") > 1)), "lists")
-    alone = lists.where(F.size("own") > 1).select("own", empty.alias("other"))
-    # parts of one list meet in pairs, each once
-    many = lists.where("parts > 1")
-    met = many.alias("x").join(many.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")))
-    both = alone.unionByName(met.select(F.col("x.own").alias("own"), F.col("y.own").alias("other")))
-    return both.mapInArrow(_candidates, "a long, b long").distinct()
+    """Distinct pairs a < b of items that pass the length and position filters at a shared token.
+
+    Each entry of a list of n parts goes to the n meetings of its part with all parts, and a meeting is a list of its own.
+    """
+    met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "item", "least", "most", "room", "place")
+    lists = met.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return lists.mapInArrow(_candidates, "a long, b long").distinct()
 
 
 def overlaps(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -267,7 +357,7 @@ def overlaps(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     who = np.repeat(np.arange(len(other)), [len(s) for s in other])
     order = np.argsort(flat, kind="stable")
     who, bound = who[order], np.searchsorted(flat[order], np.arange(len(values) + 1))
-    out = np.zeros((len(own), len(other)), np.int64)
+    out = np.zeros((len(own), len(other)), np.int32)
     before, row = np.zeros(0, np.int64), np.zeros(len(other), np.int64)
 
     def add(ids: np.ndarray) -> np.ndarray:
@@ -286,53 +376,98 @@ def overlaps(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: per cell its sets' link counts (weighted by copies) and edges of a spanning forest."""
-    for batch in batches:
-        for sets in batch["sets"]:
-            rows = sets.as_py()
-            tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-            # sets that share their least hashes are likely similar
-            order = sorted(range(len(rows)), key=lambda i: (tokens[i][:3].tolist(), rows[i]["key"]))
-            rows, tokens = [rows[i] for i in order], [tokens[i] for i in order]
-            side = np.array([r["side"] for r in rows])
-            key = np.array([r["key"] for r in rows], np.int64)
-            weight = np.array([r["copies"] for r in rows], np.int64)
-            n = np.array([len(t) for t in tokens], np.int64)
-            a = np.flatnonzero(side == 0)
-            b = np.flatnonzero(side == 1)
-            within = not len(b)
-            b = a if within else b
-            both = overlaps([tokens[i] for i in a], [tokens[i] for i in b])
-            link = linked(n[a][:, None], n[b][None, :], both)
-            if within:
-                np.fill_diagonal(link, False)
-            counts = np.zeros(len(rows), np.int64)
-            counts[a] += link @ weight[b]
-            if not within:
-                counts[b] += link.T @ weight[a]
-            root = np.arange(len(rows))
-
-            def find(i: int, root: np.ndarray = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for x in range(len(a)):
-                for y in np.flatnonzero(link[x]):
-                    i, j = find(a[x]), find(b[y])
-                    if i != j:
-                        root[j] = i
-            roots = [key[find(i)] for i in range(len(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(counts), pa.array(np.array(roots, np.int64))], ["key", "links", "root"])
-
-
-def _full_sets(size: int):
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run of equal rows."""
+    n = len(columns[0])
+    new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if n > 1 else np.zeros(0, np.int64)
+    return zip([0, *new.tolist()] if n else [], [*new.tolist(), n] if n else [], strict=True)
+
+
+_GROUP = "item long, least int, most int, weight long, keys array<long>, copies array<long>, ns array<int>, links array<long>, tokens binary"
+
+
+def _grouped(table: pa.Table) -> pa.Table:
+    """Kernel: groups of the sets of each chunk. A leader is the free set that is close to the most others, and takes those
+    that are free; a set close to none is a group of its own. ``links`` count inside the group, weighted by copies."""
+    table = table.sort_by([("chunk", "ascending"), ("key", "ascending")])
+    chunk, keys, copies = (table[c].to_numpy() for c in ("chunk", "key", "copies"))
+    rows = []
+    for first, end in _runs(chunk):
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"].slice(first, end - first)]
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][:3].tolist(), i))
+        sets, key, weight = [sets[i] for i in order], keys[first:end][order], copies[first:end][order]
+        n, both = np.array([len(s) for s in sets]), overlaps(sets, sets)
+        union = n[:, None] + n[None, :] - both
+        close, link = 100 * both.astype(np.int64) >= LEAD * union, DEN * both.astype(np.int64) >= NUM * union
+        np.fill_diagonal(link, False)
+        free = np.ones(len(sets), bool)
+        for leader in np.argsort(-close.sum(axis=1), kind="stable").tolist():
+            if free[leader]:
+                mine = np.flatnonzero(close[leader] & free)
+                free[mine] = False
+                sizes, links = n[mine], link[np.ix_(mine, mine)] @ weight[mine]
+                tokens = np.concatenate([sets[i] for i in mine]).tobytes()
+                rows.append((int(key[leader]), int(sizes.min()), int(sizes.max()), int(sizes.sum() + EACH * len(mine)), key[mine], weight[mine], sizes, links, tokens))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _GROUP.split(", ")])
+
+
+def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least item that links reach from each of ``n`` items; rows of ``link`` belong to items a, columns to items b."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, np.where(link, root[b][None, :], n).min(axis=1, initial=n))
+        np.minimum.at(new, b, np.where(link, root[a][:, None], n).min(axis=0, initial=n))
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _cells(table: pa.Table) -> pa.Table:
+    """Kernel: per cell the links of its sets to sets of other items, weighted by copies, and a spanning forest of the items."""
+    table = table.sort_by([("low", "ascending"), ("high", "ascending"), ("item", "ascending")])
+    low, high, sides, items = (table[c].to_numpy() for c in ("low", "high", "side", "item"))
+    out = []
+    for first, end in _runs(low, high):
+        sets, key, copies, item = [], [], [], []
+        for i in range(first, end):
+            n = table["ns"][i].as_py()
+            sets += np.split(np.frombuffer(table["tokens"][i].as_buffer(), np.uint64), np.cumsum(n)[:-1])
+            key += table["keys"][i].as_py()
+            copies += table["copies"][i].as_py()
+            item += [i - first] * len(n)
+        names, own_side = items[first:end], sides[first:end]
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][:3].tolist(), i))
+        sets, key, copies, item = [sets[i] for i in order], np.array(key)[order], np.array(copies)[order], np.array(item)[order]
+        n, side = np.array([len(s) for s in sets]), own_side[item]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        within = not len(b)
+        b = a if within else b
+        both = overlaps([sets[i] for i in a], [sets[i] for i in b]).astype(np.int64)
+        link = linked(n[a][:, None], n[b][None, :], both)
+        if within:
+            link &= item[a][:, None] != item[b][None, :]
+        counts = np.zeros(len(sets), np.int64)
+        counts[a] += link @ copies[b]
+        if not within:
+            counts[b] += link.T @ copies[a]
+        root = names[_forest(link, item[a], item[b], end - first)]
+        some = np.flatnonzero(counts)
+        out.append((key[some], counts[some], names[item[some]], root[item[some]]))
+    return pa.table([pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i in range(4)], names=["key", "links", "item", "root"])
+
+
+def _full_sets(size: int, *names: str):
+    """Kernel: each text's tokens, with the named columns."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [shingles(t.as_py(), size).tobytes() for t in batch["text"].cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(data, pa.binary())], ["key", "tokens"])
+            for at, texts in slices(batch["text"], BLOCK_BYTES):
+                data = pa.array([shingles(t, size).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, len(texts)) for c in names), data], [*names, "tokens"])
+        forget()
 
     return kernel
 
@@ -348,67 +483,101 @@ def similar(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     return decided(keyed(docs, id_col, text_col), size).select("doc_id", "n_shingles", "n_similar", "component_id")
 
 
+def _crowds(classes: DataFrame) -> DataFrame:
+    """(key, copies, chunk) of the classes that share a sketch with another: each goes to the commonest of its sketches, and a
+    sketch that many share is split into chunks by hash."""
+    each = classes.select("key", "n", "copies", F.posexplode("marks").alias("turn", "mark"))
+    common = each.groupBy("turn", "mark").count().where("count > 1")
+    chosen = each.join(common, ["turn", "mark"]).groupBy("key").agg(F.max(F.struct("count", -F.col("turn"), "mark", "n", "copies")).alias("best"))
+    chosen = keep(chosen.select("key", "best.n", "best.copies", F.xxhash64("best.col2", "best.mark").alias("bucket")), "chosen")
+    weights = chosen.groupBy("bucket").agg(F.count("*").alias("members"), F.ceil(F.sum(F.col("n") + EACH) / CHUNK).alias("parts")).where("members > 1").drop("members")
+    return chosen.join(weights, "bucket").select("key", "n", "copies", F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("chunk"))
+
+
+def _bins(weight: int | None) -> int:
+    return max(1, -(-(weight or 0) // BIN))
+
+
 def decided(rows: DataFrame, size: int = 2) -> DataFrame:
     """What ``similar`` tells of each row of key, doc_id, text, with its key and ``stays``: whether it is its component's
     first row by id, nulls last, and then by key."""
-    signed = keep(rows.select("key", "doc_id", "text").mapInArrow(_signatures(size), "key long, doc_id long, n long, sig binary"), "signatures")
+    signed = keep(rows.select("key", "doc_id", "text").mapInArrow(_signatures(size), "key long, doc_id long, n int, sig binary, marks array<long>"), "signatures")
     some = signed.where("sig is not null")
-    classes = some.groupBy("sig").agg(F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    classes = keep(classes, "classes")
-    # all but the representatives leave; where they are few, a broadcast spares the shuffle of all texts
-    extra = some.join(classes.select("key"), "key", "left_anti").select("key").unionByName(signed.where("sig is null").select("key"))
-    extra = keep(extra, "extra")
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-        texts = rows.select("key", "text").join(extra, "key", "left_anti")
+    classes = some.groupBy("sig").agg(F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.min(F.struct("n", "marks")).alias("s"))
+    classes = keep(classes.select("sig", "key", "least", "copies", "s.n", "s.marks"), "classes")
+    crowds = keep(_crowds(classes), "crowds")
+    # rows that aren't single sets: those that another represents or that have no words, and those in crowds
+    copies = some.join(classes.select("key"), "key", "left_anti").select("key").unionByName(signed.where("sig is null").select("key"))
+    special = keep(copies.select("key", F.lit(None).cast("long").alias("chunk")).unionByName(crowds.select("key", "chunk")).withColumn("special", F.lit(True)), "special")
+    texts = rows.select("key", "text")
+    if special.count() <= BROADCAST_ROWS:  # where they are few, a broadcast spares the shuffle of all texts
+        placed = texts.join(F.broadcast(special), "key", "left")
     else:  # sorted, so that a partition made again is cut into the same blocks
-        texts = rows.select("key", "text").join(extra, "key", "left_anti").sortWithinPartitions("key")
+        placed = texts.join(special, "key", "left").sortWithinPartitions("key")
+    sets = placed.where("chunk is not null").select("key", "chunk", "text").mapInArrow(_full_sets(size, "key", "chunk"), "key long, chunk long, tokens binary")
+    bins = _bins(crowds.agg(F.sum(F.col("n") + EACH)).first()[0])
+    sets = sets.join(crowds.select("key", "copies"), "key").withColumn("bin", F.pmod(F.xxhash64("chunk"), F.lit(bins)))
+    groups = keep(sets.groupBy("bin").applyInArrow(_grouped, _GROUP), "groups")
     total = classes.agg(F.sum("n")).first()[0] or 0
     owners = max(1, -(-total // OWNED))
     # one shuffle of the blocks serves both their questions and the join with the answers: the plans are equal up to it
-    blocks = texts.mapInArrow(_blocks(size), "block long, keys array<long>, sizes array<int>, tokens binary").where("block is not null").repartition("block")
+    blocks = placed.where("special is null").select("key", "text").mapInArrow(_single_blocks(size), _BLOCK)
+    blocks = blocks.unionByName(groups.select("item", "least", "most", "tokens").mapInArrow(_group_blocks, _BLOCK)).where("block is not null").repartition("block")
     asked = blocks.mapInArrow(_ask(owners), "owner int, block long, n int, width int, unary binary, rest binary, counts binary")
     answers = asked.groupBy("owner").applyInArrow(_answer(owners), "block long, owner int, codes binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "codes")).alias("answers"))
-    entries = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_prefixes, "token long, part int, parts int, key long, size int, place int")
+    entries = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_prefixes, _ENTRY)
     pairs = keep(candidates(entries), "pairs")
-    # chunks: the smallest neighbour leads, and a heavy leader's followers are split by hash
-    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    leaders = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("leader")).select(F.col("a").alias("key"), "leader")
-    leaders = leaders.join(classes.select("key", "n", "copies"), "key")
-    weights = leaders.groupBy("leader").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
-    chunks = leaders.join(weights, "leader").select("key", "copies", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("chunk"))
-    chunks = keep(chunks, "chunks")
-    one = chunks.select(F.col("key").alias("a"), F.col("chunk").alias("ca"))
-    two = chunks.select(F.col("key").alias("b"), F.col("chunk").alias("cb"))
-    placed = pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb", F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high"))
-    place = lambda k, c: placed.select(F.col(k).alias("key"), "low", "high", (F.col(c) != F.col("low")).cast("int").alias("side"))
-    members = place("a", "ca").unionByName(place("b", "cb")).distinct()
-    sets = rows.select("key", "text").join(chunks, "key").select("key", "copies", "text")
-    sets = keep(sets.select("key", "text").mapInArrow(_full_sets(size), "key long, tokens binary").join(chunks.select("key", "copies"), "key"), "sets")
-    row = F.struct("key", "side", "copies", "tokens")
-    cells = members.join(sets, "key").groupBy("low", "high").agg(F.collect_list(row).alias("sets"))
-    links = keep(cells.select("sets").mapInArrow(_cells, "key long, links long, root long"), "links")
-    sums = links.groupBy("key").agg(F.sum("links").alias("links"))
-    groups = components(links.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
-    found = classes.join(sums, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    cells = keep(_verified(texts, classes, groups, pairs, size), "links")
+    inside = groups.select("item", F.explode(F.arrays_zip("keys", "links")).alias("m")).select(F.col("m.keys").alias("key"), F.col("m.links").alias("links"), "item")
+    sums = inside.select("key", "links").unionByName(cells.select("key", "links")).groupBy("key").agg(F.sum("links").alias("links"))
+    edges = inside.select(F.col("key").alias("a"), F.col("item").alias("b")).unionByName(cells.select(F.col("item").alias("a"), F.col("root").alias("b")))
+    found = classes.join(sums, "key", "left").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
     found = found.select("sig", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
     smallest = found.groupBy("component").agg(F.min("least").alias("first"))
     found = found.join(smallest, "component").select("sig", (F.col("links") + F.col("copies") - 1).alias("n_similar"), "first")
     # a class of very many copies must not meet in one task: rows go by (class, salt), answers to every salt in use
-    salted = signed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)).cast("int"))
+    salted = signed.drop("marks").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)).cast("int"))
     spots = salted.where("sig is not null").select("sig", "salt").distinct().join(found, "sig")
     done = salted.join(spots, ["sig", "salt"], "left")
     return done.select(
         "key",
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
         (F.col("sig").isNull() | (F.col("first.key") == F.col("key"))).alias("stays"),
     )
 
 
+def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(key, links, item, root) of the cells that hold the candidate pairs of items."""
+    # chunks: the smallest neighbour leads, and a heavy leader's followers are split by hash
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    leaders = sides.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("item"), F.least("a", "b").alias("leader"))
+    alone = classes.select(F.col("key").alias("item"), (F.col("n") + EACH).cast("long").alias("weight"), "copies", "n")
+    heavy = groups.select("item", F.col("weight").alias("group_weight"))
+    leaders = leaders.join(alone, "item").join(heavy, "item", "left").withColumn("grouped", F.col("group_weight").isNotNull()).withColumn("weight", F.coalesce("group_weight", "weight")).drop("group_weight")
+    leaders = keep(leaders, "leaders")
+    weights = leaders.groupBy("leader").agg(F.ceil(F.sum("weight") / CHUNK).alias("parts"))
+    chunks = keep(leaders.join(weights, "leader").select("item", "weight", "copies", "n", "grouped", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.col("parts"))).alias("chunk")), "chunks")
+    one = chunks.select(F.col("item").alias("a"), F.col("chunk").alias("ca"), F.col("weight").alias("wa"))
+    two = chunks.select(F.col("item").alias("b"), F.col("chunk").alias("cb"), F.col("weight").alias("wb"))
+    placed = pairs.join(one, "a").join(two, "b").withColumns({"low": F.least("ca", "cb"), "high": F.greatest("ca", "cb")})
+    place = lambda k, c, w: placed.select(F.col(k).alias("item"), "low", "high", (F.col(c) != F.col("low")).cast("int").alias("side"), F.col(w).alias("weight"))
+    members = keep(place("a", "ca", "wa").unionByName(place("b", "cb", "wb")).distinct(), "members")
+    bins = _bins(members.agg(F.sum("weight")).first()[0])
+    single = chunks.where("not grouped").select(F.col("item").alias("key"), F.array("item").alias("keys"), F.array("copies").alias("copies"), F.array("n").alias("ns"))
+    if single.count() <= BROADCAST_ROWS:
+        wanted = texts.join(F.broadcast(single.select("key")), "key", "left_semi")
+    else:
+        wanted = texts.join(single.select("key"), "key", "left_semi")
+    sets = wanted.mapInArrow(_full_sets(size, "key"), "key long, tokens binary").join(single, "key").select(F.col("key").alias("item"), "keys", "copies", "ns", "tokens")
+    sets = sets.unionByName(groups.join(chunks.where("grouped").select("item"), "item").select("item", "keys", "copies", "ns", "tokens"))
+    cells = members.drop("weight").join(sets, "item").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
+    return cells.groupBy("bin").applyInArrow(_cells, "key long, links long, item long, root long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each component one row, the first with its smallest id, and
     all rows without words. Rows are decided one by one, also where ids are null or repeat."""

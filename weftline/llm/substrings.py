@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import keep, keyed, slices
 
 WINDOW, K = 35, 18
-KEPT = 1 << 20
+KEPT = 1 << 18
 _B1, _B2, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,6 +51,11 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def forget() -> None:
+    """Free what ``hashes`` keeps: workers are used again, for other kernels too."""
+    _known().clear()
+
+
 def rolled(values: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """Mixed hash of the ``n`` values from each place on; places too near the end are left out."""
     if len(values) < n:
