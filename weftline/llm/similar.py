@@ -39,7 +39,7 @@ NUM, DEN = 60, 100
 LEAD = 70
 BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 1_000_000, 4 << 20, 1 << 19
 #: Entries of a part of an index list; weight of a chunk and of what a task takes at once, a set weighing its tokens and EACH.
-PART, CHUNK, BIN, EACH = 8192, 1 << 18, 1 << 20, 256
+PART, CHUNK, BIN, EACH = 8192, 1 << 19, 1 << 20, 256
 #: Candidate pairs expanded at once, and those that a task holds to drop those that come again.
 EXPAND, HELD = 1 << 19, 1 << 20
 BROADCAST_ROWS = 500_000
@@ -152,8 +152,9 @@ def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows: list[tuple[int, int, int, int, np.ndarray]] = []
         total = 0
-        for item, least, most, data in zip(*(batch[c] for c in ("item", "least", "most", "tokens")), strict=True):
-            union = np.unique(np.frombuffer(data.as_buffer(), np.uint64))
+        for item, least, most, data in zip(*(batch[c] for c in ("item", "least", "most", "sets")), strict=True):
+            n, m = np.frombuffer(data.as_buffer(), np.int32, 2)
+            union = np.frombuffer(data.as_buffer(), np.uint64, n, 8 + 4 * m)
             rows.append((item.as_py(), least.as_py(), most.as_py(), len(union), cut(union)))
             total += len(union)
             if total >= BLOCK_TOKENS:
@@ -376,6 +377,25 @@ def overlaps(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def related(sets: list[np.ndarray]) -> bytes:
+    """Sets in bytes by their relation to the first: all distinct tokens, then the first set and what each other one has more
+    or less than it."""
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(flat.astype(np.int32), np.cumsum([len(s) for s in sets])[:-1])
+    parts = [parts[0], *(np.setxor1d(parts[0], p, assume_unique=True) for p in parts[1:])]
+    sizes = np.array([len(values), len(parts), *(len(p) for p in parts)], np.int32)
+    return b"".join([sizes.tobytes(), values.tobytes(), *(p.tobytes() for p in parts)])
+
+
+def unrelated(data: pa.Buffer | bytes) -> list[np.ndarray]:
+    """Inverse of ``related``."""
+    n, m = np.frombuffer(data, np.int32, 2)
+    sizes = np.frombuffer(data, np.int32, m, 8)
+    values = np.frombuffer(data, np.uint64, n, 8 + 4 * m)
+    first, *others = np.split(np.frombuffer(data, np.int32, int(sizes.sum()), 8 + 4 * m + 8 * n), np.cumsum(sizes)[:-1])
+    return [values[first], *(values[np.setxor1d(first, x, assume_unique=True)] for x in others)]
+
+
 def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     """(from, to) of each run of equal rows."""
     n = len(columns[0])
@@ -383,7 +403,7 @@ def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *new.tolist()] if n else [], [*new.tolist(), n] if n else [], strict=True)
 
 
-_GROUP = "item long, least int, most int, weight long, keys array<long>, copies array<long>, ns array<int>, links array<long>, tokens binary"
+_GROUP = "item long, least int, most int, weight long, keys array<long>, copies array<long>, links array<long>, sets binary"
 
 
 def _grouped(table: pa.Table) -> pa.Table:
@@ -403,12 +423,12 @@ def _grouped(table: pa.Table) -> pa.Table:
         free = np.ones(len(sets), bool)
         for leader in np.argsort(-close.sum(axis=1), kind="stable").tolist():
             if free[leader]:
-                mine = np.flatnonzero(close[leader] & free)
+                free[leader] = False
+                mine = np.append(leader, np.flatnonzero(close[leader] & free))
                 free[mine] = False
                 sizes, links = n[mine], link[np.ix_(mine, mine)] @ weight[mine]
-                tokens = np.concatenate([sets[i] for i in mine]).tobytes()
-                rows.append((int(key[leader]), int(sizes.min()), int(sizes.max()), int(sizes.sum() + EACH * len(mine)), key[mine], weight[mine], sizes, links, tokens))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+                rows.append((int(key[leader]), int(sizes.min()), int(sizes.max()), int(sizes.sum() + EACH * len(mine)), key[mine], weight[mine], links, related([sets[i] for i in mine])))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _GROUP.split(", ")])
 
 
@@ -433,11 +453,10 @@ def _cells(table: pa.Table) -> pa.Table:
     for first, end in _runs(low, high):
         sets, key, copies, item = [], [], [], []
         for i in range(first, end):
-            n = table["ns"][i].as_py()
-            sets += np.split(np.frombuffer(table["tokens"][i].as_buffer(), np.uint64), np.cumsum(n)[:-1])
+            sets += unrelated(table["sets"][i].as_buffer())
             key += table["keys"][i].as_py()
             copies += table["copies"][i].as_py()
-            item += [i - first] * len(n)
+            item += [i - first] * (len(sets) - len(item))
         names, own_side = items[first:end], sides[first:end]
         order = sorted(range(len(sets)), key=lambda i: (sets[i][:3].tolist(), i))
         sets, key, copies, item = [sets[i] for i in order], np.array(key)[order], np.array(copies)[order], np.array(item)[order]
@@ -459,14 +478,15 @@ def _cells(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate([x[i] for x in out]).astype(np.int64)) for i in range(4)], names=["key", "links", "item", "root"])
 
 
-def _full_sets(size: int, *names: str):
-    """Kernel: each text's tokens, with the named columns."""
+def _full_sets(size: int, *names: str, alone: bool = False):
+    """Kernel: each text's tokens, with the named columns; ``alone``: as ``sets`` of one."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch["text"], BLOCK_BYTES):
-                data = pa.array([shingles(t, size).tobytes() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, len(texts)) for c in names), data], [*names, "tokens"])
+                found = [shingles(t, size) for t in texts]
+                data = pa.array([related([s]) if alone else s.tobytes() for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, len(texts)) for c in names), data], [*names, "sets" if alone else "tokens"])
         forget()
 
     return kernel
@@ -508,21 +528,23 @@ def decided(rows: DataFrame, size: int = 2) -> DataFrame:
     crowds = keep(_crowds(classes), "crowds")
     # rows that aren't single sets: those that another represents or that have no words, and those in crowds
     copies = some.join(classes.select("key"), "key", "left_anti").select("key").unionByName(signed.where("sig is null").select("key"))
-    special = keep(copies.select("key", F.lit(None).cast("long").alias("chunk")).unionByName(crowds.select("key", "chunk")).withColumn("special", F.lit(True)), "special")
+    none = F.lit(None).cast("long")
+    special = copies.select("key", none.alias("chunk"), none.alias("copies")).unionByName(crowds.select("key", "chunk", "copies"))
+    special = keep(special.withColumn("special", F.lit(True)), "special")
     texts = rows.select("key", "text")
     if special.count() <= BROADCAST_ROWS:  # where they are few, a broadcast spares the shuffle of all texts
         placed = texts.join(F.broadcast(special), "key", "left")
     else:  # sorted, so that a partition made again is cut into the same blocks
         placed = texts.join(special, "key", "left").sortWithinPartitions("key")
-    sets = placed.where("chunk is not null").select("key", "chunk", "text").mapInArrow(_full_sets(size, "key", "chunk"), "key long, chunk long, tokens binary")
+    sets = placed.where("chunk is not null").select("key", "chunk", "copies", "text")
+    sets = sets.mapInArrow(_full_sets(size, "key", "chunk", "copies"), "key long, chunk long, copies long, tokens binary")
     bins = _bins(crowds.agg(F.sum(F.col("n") + EACH)).first()[0])
-    sets = sets.join(crowds.select("key", "copies"), "key").withColumn("bin", F.pmod(F.xxhash64("chunk"), F.lit(bins)))
-    groups = keep(sets.groupBy("bin").applyInArrow(_grouped, _GROUP), "groups")
+    groups = keep(sets.withColumn("bin", F.pmod(F.xxhash64("chunk"), F.lit(bins))).groupBy("bin").applyInArrow(_grouped, _GROUP), "groups")
     total = classes.agg(F.sum("n")).first()[0] or 0
     owners = max(1, -(-total // OWNED))
     # one shuffle of the blocks serves both their questions and the join with the answers: the plans are equal up to it
     blocks = placed.where("special is null").select("key", "text").mapInArrow(_single_blocks(size), _BLOCK)
-    blocks = blocks.unionByName(groups.select("item", "least", "most", "tokens").mapInArrow(_group_blocks, _BLOCK)).where("block is not null").repartition("block")
+    blocks = blocks.unionByName(groups.select("item", "least", "most", "sets").mapInArrow(_group_blocks, _BLOCK)).where("block is not null").repartition("block")
     asked = blocks.mapInArrow(_ask(owners), "owner int, block long, n int, width int, unary binary, rest binary, counts binary")
     answers = asked.groupBy("owner").applyInArrow(_answer(owners), "block long, owner int, codes binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "codes")).alias("answers"))
@@ -555,25 +577,25 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, pairs: Da
     # chunks: the smallest neighbour leads, and a heavy leader's followers are split by hash
     sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     leaders = sides.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("item"), F.least("a", "b").alias("leader"))
-    alone = classes.select(F.col("key").alias("item"), (F.col("n") + EACH).cast("long").alias("weight"), "copies", "n")
+    alone = classes.select(F.col("key").alias("item"), (F.col("n") + EACH).cast("long").alias("weight"), "copies")
     heavy = groups.select("item", F.col("weight").alias("group_weight"))
     leaders = leaders.join(alone, "item").join(heavy, "item", "left").withColumn("grouped", F.col("group_weight").isNotNull()).withColumn("weight", F.coalesce("group_weight", "weight")).drop("group_weight")
     leaders = keep(leaders, "leaders")
     weights = leaders.groupBy("leader").agg(F.ceil(F.sum("weight") / CHUNK).alias("parts"))
-    chunks = keep(leaders.join(weights, "leader").select("item", "weight", "copies", "n", "grouped", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.col("parts"))).alias("chunk")), "chunks")
+    chunks = keep(leaders.join(weights, "leader").select("item", "weight", "copies", "grouped", F.xxhash64("leader", F.pmod(F.xxhash64("item"), F.col("parts"))).alias("chunk")), "chunks")
     one = chunks.select(F.col("item").alias("a"), F.col("chunk").alias("ca"), F.col("weight").alias("wa"))
     two = chunks.select(F.col("item").alias("b"), F.col("chunk").alias("cb"), F.col("weight").alias("wb"))
     placed = pairs.join(one, "a").join(two, "b").withColumns({"low": F.least("ca", "cb"), "high": F.greatest("ca", "cb")})
     place = lambda k, c, w: placed.select(F.col(k).alias("item"), "low", "high", (F.col(c) != F.col("low")).cast("int").alias("side"), F.col(w).alias("weight"))
     members = keep(place("a", "ca", "wa").unionByName(place("b", "cb", "wb")).distinct(), "members")
     bins = _bins(members.agg(F.sum("weight")).first()[0])
-    single = chunks.where("not grouped").select(F.col("item").alias("key"), F.array("item").alias("keys"), F.array("copies").alias("copies"), F.array("n").alias("ns"))
+    single = chunks.where("not grouped").select(F.col("item").alias("key"), F.array("item").alias("keys"), F.array("copies").alias("copies"))
     if single.count() <= BROADCAST_ROWS:
         wanted = texts.join(F.broadcast(single.select("key")), "key", "left_semi")
     else:
         wanted = texts.join(single.select("key"), "key", "left_semi")
-    sets = wanted.mapInArrow(_full_sets(size, "key"), "key long, tokens binary").join(single, "key").select(F.col("key").alias("item"), "keys", "copies", "ns", "tokens")
-    sets = sets.unionByName(groups.join(chunks.where("grouped").select("item"), "item").select("item", "keys", "copies", "ns", "tokens"))
+    sets = wanted.mapInArrow(_full_sets(size, "key", alone=True), "key long, sets binary").join(single, "key").select(F.col("key").alias("item"), "keys", "copies", "sets")
+    sets = sets.unionByName(groups.join(chunks.where("grouped").select("item"), "item").select("item", "keys", "copies", "sets"))
     cells = members.drop("weight").join(sets, "item").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
     return cells.groupBy("bin").applyInArrow(_cells, "key long, links long, item long, root long")
 
