@@ -49,6 +49,25 @@ def test_bpe_equals_tiktoken(spark, name):
     assert bpe.digest(no_docs(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_words():
+    """Words of 95 to 5,000 bytes, plain and repetitive, equal tiktoken's, whichever query contracts them."""
+    import random
+
+    import tiktoken
+
+    path, draw = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(8)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    parts = ["the", "and", "ing", "tion", "er", "qu", "x", "zz", "a", "é", "漢字"]
+    texts = ["".join(draw.choice(parts) for _ in range(n))[:n] for n in (5, 40, 47, 48, 49, 95, 96, 97, 300, 1000)]
+    texts += ["x" * 5000, "ha" * 900, "aab" * 400, "漢字" * 300, "é" * 501, "".join(map(chr, draw.sample(range(0x4E00, 0x9FFF), 400))), "!" * 700, " " * 300]
+    mine = bpe.Tokenizer(path, public_tokenizers.PATTERN)
+    ids, counts = mine.encode_texts(texts)
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [own.encode_ordinary(t) for t in texts]
+    assert mine.decode_lists(ids, counts) == [t.encode() for t in texts]
+
+
 def base_spans(text):
     assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [("assign", *m.span()) for m in assign.finditer(text) if len(m[1]) >= 6]
@@ -86,6 +105,49 @@ def test_structural_confirmation():
     assert secrets.scan("") == [] and secrets.scan("plain prose " * 50) == []
 
 
+def tlv(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])
+    return bytes([tag]) + size + body
+
+
+KEY = tlv(0x30, b"\x02\x01\x00" + b"".join(tlv(2, b"\x01" + bytes(range(1, 1 + n))) for n in (200, 3, 190, 100)))
+LOCKED_KEY = tlv(0x30, tlv(0x30, tlv(6, bytes(range(9))) + tlv(0x30, tlv(4, bytes(8)))) + tlv(4, bytes(range(200))))
+B64 = base64.b64encode(KEY).decode()
+WRAPPED = "\n".join(B64[i : i + 64] for i in range(0, len(B64), 64))
+ESCAPED = WRAPPED.replace("\n", "\\n")
+ARMOUR = "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {0}PRIVATE KEY-----"
+CIPHER = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+MIXED = "".join(c.upper() if i % 3 else c for i, c in enumerate(KEY.hex()))
+WHOLE = base64.b64encode(bytes(range(160)) * 4).decode()
+
+
+@pytest.mark.parametrize(
+    "text,secret,kind",
+    [
+        ("x/keys/{}", B64, "der"), ("at\n{}\nend", WRAPPED, "der"), ("'{}'", ESCAPED, "der"), ("k={} x", base64.b64encode(LOCKED_KEY).decode(), "der"),
+        ("{}/and/more", base64.urlsafe_b64encode(KEY).decode().rstrip("="), "der"), ("0x{}", MIXED, "der"), ("{}", ARMOUR.format("RSA ", WRAPPED), "pem"),
+        ('{{"k": "{}"}}', ARMOUR.format("", WRAPPED).replace("\n", "\\n"), "pem"), ("{}", ARMOUR.format("RSA ", CIPHER + WHOLE), "pem"),
+    ],
+)
+def test_keys_in_many_forms(text, secret, kind):
+    whole, at = text.format(secret), text.index("{}") - (2 if "{{" in text[: text.index("{}")] else 0) + (1 if "{{" in text else 0)
+    at = whole.index(secret)
+    assert (kind, at, at + len(secret)) in secrets.scan(whole)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x/keys/" + B64[:-8], "at\n" + WRAPPED[:-30] + "\nend", base64.b64encode(KEY[:9] + b"\x99" + KEY[10:]).decode()[:-40], "0x" + MIXED[2:], "0x" + MIXED[:-2],
+        ARMOUR.format("RSA ", WRAPPED[:-66]), ARMOUR.format("RSA ", CIPHER + WHOLE[:-4]), base64.b64encode(LOCKED_KEY[:4] + b"\x05" + LOCKED_KEY[5:]).decode(),
+        ARMOUR.format("RSA ", CIPHER + WHOLE)[:-3], base64.b64encode(bytes(300)).decode(), "MII" + "A" * 400,
+    ],
+)
+def test_broken_keys_are_no_keys(text):
+    assert not [s for s in secrets.scan(text) if s[0] in ("der", "ssh", "pem")]
+
+
 def test_redact(spark):
     docs = odd_docs(spark)
     out = {r.text for r in secrets.redact(docs).collect()}
@@ -144,6 +206,82 @@ def test_sniffing_and_carving(spark):
     assert binascii.crc32(b"") == 0
 
 
+def crc_of(table, bits, data):
+    out = 0
+    for x in data:
+        out = table[out ^ x] if bits == 8 else ((out << 8) & 0xFFFF) ^ table[(out >> 8) ^ x]
+    return out
+
+
+def flac_frame(number):
+    head = bytes([0xFF, 0xF8, 0x19, 0x18, number])
+    body = head + bytes([crc_of(media._CRC8, 8, head)]) + bytes([0, 0, number, 7])
+    return body + crc_of(media._CRC16, 16, body).to_bytes(2, "big")
+
+
+def samples():
+    """One small file of each type."""
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    riff = lambda form: b"RIFF" + (20).to_bytes(4, "little") + form + b"abcd" + (8).to_bytes(4, "little") + b"12345678"
+    box = lambda kind, d: (8 + len(d)).to_bytes(4, "big") + kind + d
+    page = b"OggS" + bytes(22) + b"\x01\x05" + b"abcde"
+    info = struct.pack(">HH", 192, 192) + bytes(6) + ((44100 << 44) | (15 << 36) | (3 * 192)).to_bytes(8, "big") + bytes(16)
+    file = io.BytesIO()
+    with zipfile.ZipFile(file, "w") as z:
+        z.writestr("a", "hello")
+        z.writestr("b", "again")
+    return {
+        "image/png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"12") + chunk(b"IEND", b""),
+        "image/jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03x" + b"data\xff\x00more\xff\xd9",
+        "image/gif": b"GIF89a" + bytes(4) + b"\x80\0\0" + bytes(6) + b"!\xf9\x01x\0" + b"," + bytes(9) + b"\x02\x03abc\0;",
+        "audio/wav": media.to_wav(b"abcd"), "image/webp": riff(b"WEBP"), "video/avi": riff(b"AVI "),
+        "image/bmp": b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42),
+        "application/pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF\nstartxref\n10\n%%EOF", "application/zip": file.getvalue(), "application/gzip": gzip.compress(b"abc" * 50),
+        "audio/ogg": page + page, "audio/flac": b"fLaC" + bytes([0x80, 0, 0, 34]) + info + flac_frame(0) + flac_frame(1) + flac_frame(2),
+        "video/mp4": box(b"ftyp", b"isom" + bytes(4)) + box(b"moov", bytes(9)) + box(b"mdat", b"xy"),
+    }
+
+
+@pytest.mark.parametrize("kind", list(samples()))
+def test_each_format(kind):
+    """Found whole, carved from between other bytes with its length, and not found when it is cut short or its start is broken."""
+    data = samples()[kind]
+    assert media.sniff(data)[0] == kind and (kind, 0, len(data)) in media.locate(data)
+    assert (kind, 7, 7 + len(data)) in media.locate(b"before " + data + b" after " * 12)
+    assert not [x for x in media.locate(data[: len(data) // 2]) if x[1:] == (0, len(data))]
+    broken = data[:5] + bytes([data[5] ^ 0x15]) + data[6:]
+    assert media.sniff(broken)[0] != kind or kind in ("image/jpeg", "audio/ogg", "application/pdf", "application/gzip", "application/zip", "image/gif", "image/bmp", "video/mp4")
+
+
+def test_files_inside_files_of_the_same_type(spark):
+    inner = media.to_wav(b"\0" * 64)
+    assert media.sniff(media.to_wav(b"xx" + inner + b"tail")) == ("audio/wav", [("audio/wav", 46, 46 + len(inner))])
+    docs = spark.createDataFrame([(1, "RIFF but no file", 5)], "doc_id long, text string, feature int")
+    row = media.digest(docs).first()
+    assert (row.type, row.corrected) == ("audio/wav", row.declared != "audio/wav") and "carved=;" in row.feature
+
+
+def test_declared_types_are_corrected(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    out = media.digest(docs).collect()
+    assert {r.declared for r in out} == set(media.DECLARED) and {r.corrected for r in out} == {True, False}
+    assert all(r.corrected == (r.declared != r.type) for r in out)
+
+
+@pytest.mark.parametrize("data", [b"%PDF-1.x" * 1_000_000, b"\xff\xd8\xff\xe0\0\4\xff\xd8" * 200_000, b"\x1f\x8b\x08" * 100_000, (b"OggS" + bytes(22) + b"\0") * 30_000, b"PK\3\4" * 300_000])
+def test_false_magic_bytes_take_linear_time(data):
+    import time
+
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 10
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 

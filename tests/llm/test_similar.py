@@ -52,7 +52,7 @@ def family_texts(n=260, seed=4):
     return out
 
 
-@pytest.mark.parametrize("part,chunk", [(2048, 1 << 18), (3, 100)])
+@pytest.mark.parametrize("part,chunk", [(8192, 1 << 19), (3, 2000)])
 def test_families(spark, monkeypatch, part, chunk):
     monkeypatch.setattr(similar, "PART", part)
     monkeypatch.setattr(similar, "CHUNK", chunk)
@@ -61,6 +61,41 @@ def test_families(spark, monkeypatch, part, chunk):
     assert run(docs) == sorted(map(repr, plain(pairs)))
 
 
+@pytest.mark.parametrize("bits", [40, 8])
+def test_cut_tokens_lose_no_link(spark, monkeypatch, bits):
+    """With 8 bits most tokens of a set collide; what the cut merges is asked for less, so all links are found."""
+    monkeypatch.setattr(similar, "BITS", bits)
+    pairs = list(enumerate(family_texts(120, seed=9)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert run(docs) == sorted(map(repr, plain(pairs)))
+
+
+def test_a_token_in_very_many_sets(spark, monkeypatch):
+    """20,000 pairs of words share one shingle, as rare as all else that they share: its list is split into parts."""
+    monkeypatch.setattr(similar, "PART", 512)
+    texts = [f"same words x{i} y{i}" for i in range(20_000)] + ["same words", "same words again", "SAME words again", "same words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in similar.similar(docs).collect()}
+    assert [out[i] for i in range(20_000, 20_004)] == [(1, 1, 20_000), (2, 1, 20_001), (2, 1, 20_001), (1, 1, 20_000)]
+    assert all(out[i] == (3, 0, i) for i in range(20_000))
+
+
+def test_pairs_of_a_list_come_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(similar, "EXPAND", 1000)
+    n = 300
+    whole = np.full(n, 20)
+    found = list(similar.probe_lists(np.zeros(n, int), np.zeros(n, int), np.arange(n), whole, whole, whole, np.zeros(n, int)))
+    assert len(found) > 40 and max(len(i) for i, _ in found) <= 1000
+    assert {(int(a), int(b)) for i, j in found for a, b in zip(i, j, strict=True)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def test_related_sets_come_back():
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 2**63, 50)).astype(np.uint64)
+    sets = [base, base[:40], np.unique(np.append(base[5:], draw.integers(0, 2**63, 9).astype(np.uint64))), base[:1]]
+    assert [s.tolist() for s in similar.unrelated(similar.related(sets))] == [s.tolist() for s in sets]
+
+
 def test_threshold_ties(spark):
     # 6 of 10 shingles shared links, 6 of 11 doesn't; one-word texts link with themselves alone
     a = "a b c d e f g p q"
