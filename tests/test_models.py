@@ -1,6 +1,7 @@
 """Classifier, summaries, language models, alignment, embeddings."""
 
 import json
+import sys
 
 import numpy as np
 import pytest
@@ -138,3 +139,60 @@ def test_embeddings(spark, tmp_path):
 def test_edit_similarity():
     assert f.edit_similarity("kitten", "sitting") == pytest.approx(1 - 3 / 7) and f.edit_similarity("", "") == 1.0
     assert f.edit_similarity("ab", "cd", (1, 1, 2)) == 0.0
+
+
+class FakeHeliport:
+    """Answers as the library does: three-letter codes and costs."""
+
+    def identify(self, text, ignore_confidence):
+        assert not ignore_confidence
+        return {"hei": "fin", "hello": "eng"}.get(text, "und")
+
+    def identify_with_score(self, text, ignore_confidence):
+        return self.identify(text, ignore_confidence), 1.5
+
+    def identify_topk_with_score(self, text, k):
+        return [("fin", 2.0), ("eng", 3.0), ("swe", 7.0)][:k]
+
+
+def test_heliport_filters_compare_two_letter_codes(spark, monkeypatch):
+    import types
+
+    from weftline.operators import language_id
+
+    fake = types.ModuleType("heliport")
+    fake.Identifier = FakeHeliport
+    monkeypatch.setitem(sys.modules, "heliport", fake)
+    monkeypatch.setattr(language_id.importlib.util, "find_spec", lambda name: True)
+    own, texts = FakeHeliport(), ["hei", "hello", "?"]
+    judged = lambda kind, language, **more: [kind([language], **more).judge(own, t, language) for t in texts]
+    assert judged(language_id.HeliportSimpleFilter, "fi") == [1.0, 0.0, 0.5]
+    assert judged(language_id.HeliportConfidenceFilter, "fi") == [1.5, 0.0, 1.5]
+    assert judged(language_id.HeliportRawScoreFilter, "en") == [3.0] * 3 and judged(language_id.HeliportRawScoreFilter, "de") == [7.0] * 3
+    assert judged(language_id.HeliportRawScoreFilter, "en", topk=1) == [7.0] * 3
+    p = judged(language_id.HeliportProbabilityFilter, "fi")[0]
+    assert abs(p - 1 / 1.1) < 1e-12 and judged(language_id.HeliportProbabilityFilter, "sv") == [0.0] * 3
+    limits = {k: (getattr(language_id, k).accept_threshold, getattr(language_id, k).reject_threshold) for k in ("LangidFilter", "Cld2Filter", "FastTextFilter", "LinguaFilter", "HeliportSimpleFilter")}
+    assert set(limits.values()) == {(-1, 1)}
+    assert (language_id.HeliportConfidenceFilter.accept_threshold, language_id.HeliportConfidenceFilter.reject_threshold) == (-1, 7)
+    assert (language_id.HeliportRawScoreFilter.accept_threshold, language_id.HeliportRawScoreFilter.reject_threshold) == (7 + 1e-6, 0)
+    assert (language_id.HeliportProbabilityFilter.accept_threshold, language_id.HeliportProbabilityFilter.reject_threshold) == (-1e-9, 1)
+    assert len(language_id._CODES) > 180 and all(len(k) == 3 and len(v) == 2 for k, v in language_id._CODES.items())
+
+
+def test_damped_counts():
+    from weftline.plans.runner import log_count
+
+    assert [log_count(x) for x in (1, 2, 3, 4, 8, 10, 16, 19, 31)] == [1, 2, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_quantiles(spark):
+    from weftline.functions.quantiles import quantiles
+
+    draw = np.random.default_rng(3)
+    values = [None if i % 11 == 0 else float(round(x, 1)) for i, x in enumerate(draw.normal(size=400))]
+    rows = spark.createDataFrame([(v, float(i % 3), None) for i, v in enumerate(values)], "`a.b` double, c double, d double")
+    shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = quantiles(rows, {"a.b": shares, "c": shares, "d": [0.5]})
+    assert np.allclose(found["a.b"], np.quantile([v for v in values if v is not None], shares))
+    assert np.allclose(found["c"], np.quantile([float(i % 3) for i in range(400)], shares)) and found["d"] == [None]

@@ -215,3 +215,49 @@ def test_streams(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 1
+
+
+def test_flatten_takes_the_longest_list(spark):
+    rows = spark.createDataFrame([(0, ([1.0], {"x": [[1], [2, 3]]})), (1, ([1.0, 2.0, 3.0], None)), (2, None)], "idx long, score struct<A: array<double>, B: struct<x: array<array<int>>>>")
+    flat = steps.flatten(rows)
+    assert flat.columns == ["idx", "A.0", "A.1", "A.2", "B.x.0.0", "B.x.1.0", "B.x.1.1"]
+    assert [tuple(r) for r in flat.orderBy("idx").collect()] == [(0, 1.0, None, None, 1.0, 2.0, 3.0), (1, 1.0, 2.0, 3.0, None, None, None), (2, *[None] * 6)]
+    assert steps.flatten(rows.where("idx < 0")).columns == ["idx"]
+
+
+def test_head_and_tail_of_sparse_numbers(spark):
+    sparse = corpus(spark, [f"l{i}" for i in range(20)]).where(F.col("idx") % 3 == 1)
+    assert steps.head(sparse, 2).lines() == [["l1", "l4"]] and steps.tail(sparse, 2).lines() == [["l16", "l19"]]
+    assert steps.head(sparse, 99).lines() == sparse.lines() and steps.head(sparse, 0).lines() == steps.tail(sparse, 0).lines() == [[]]
+
+
+def test_concatenate_sparse_and_dense_numbers(spark):
+    dense, sparse = corpus(spark, ["a", "b"]), corpus(spark, list("wxyz")).where("idx % 2 = 1")
+    for parts, want in (((dense, sparse), list("abxz")), ((sparse, dense), list("xzab")), ((dense, dense, sparse), list("ababxz"))):
+        whole = steps.concatenate(*parts)
+        assert whole.lines() == [want]
+        assert whole.df.select("idx").distinct().count() == len(want)
+
+
+def test_lines_are_numbered_by_sums(spark):
+    from weftline.corpus import lines_of
+
+    texts = [(3, "c\nd"), (1, "a"), (None, None), (2, "\nb\n")]
+    for rows, want in ((texts, ["", "a", "", "b", "", "c", "d"]), ([*texts, (3, "c\nd")], ["", "a", "", "b", ""])):
+        found = sorted(tuple(r) for r in lines_of(spark.createDataFrame(rows, "id long, text string"), "id").collect())
+        assert [i for i, _ in found] == list(range(len(found))) and [s for _, s in found][: len(want)] == want
+
+
+def test_substitutions_are_the_same_in_the_jvm(spark):
+    patterns = [["([a-z]+) ([0-9]+)", r"\2-\1", 0, []], ["[äÄ]", "a", 0, []], [" +", " ", 0, []], ["a|b\\.", "$x", 0, []]]
+    lines_in = ["abc 12  x", "Äb. ä 9", "", "a b", "b.b a$"]
+    native = [preprocess._native(*preprocess.RegExpSub._checked(p)) for p in patterns]
+    assert native == [True, True, True, False]
+    assert not preprocess._native("x*", "", 0, 0) and not preprocess._native("a", "b", 1, 0) and not preprocess._native(r"\d", "", 0, 0) and not preprocess._native("(?i)a", "", 0, 0)
+    import re
+
+    for some in (patterns[:3], patterns):
+        want = lines_in
+        for p, r, _, _ in some:
+            want = [re.sub(p, r, t) for t in want]
+        assert preprocess.RegExpSub(some).process(corpus(spark, lines_in)).lines() == [want]

@@ -77,3 +77,25 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx", fa
     before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(part), before.alias(first))  # one row for each partition
     return cut.join(F.broadcast(starts), part).withColumn(name, F.col(at) + F.col(first)).drop(part, at, first)
+
+
+def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """idx and s0: the lines of all texts, numbered densely by ``key`` and place; null texts are one empty line.
+
+    Only keys and numbers of lines are sorted and written; their running sums join the texts again, which travel once at most.
+    Where keys repeat, the lines themselves are sorted instead.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    by, n, at, part, first = F.col("__key"), "__n", "__at", "__part", "__first"
+    counts = df.select(F.col(key).alias("__key"), F.size(parts).alias(n)).repartitionByRange(by).sortWithinPartitions(by).withColumn(at, F.monotonically_increasing_id())
+    counts = written(counts.withColumn(part, F.shiftright(at, 33)), "counts")
+    sums = counts.groupBy(part).agg(F.sum(n).alias("__sum"), F.count("*").alias("__rows"), F.count_distinct(F.struct("__key")).alias("__keys"))
+    if not sums.where("__rows <> __keys").isEmpty():
+        split = df.select(F.col(key).alias("__d"), F.posexplode(parts).alias("__p", "s0"))
+        return numbered(split, ["__d", "__p"]).select("idx", "s0")
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(part, before("__sum", Window.orderBy(part)).alias("__start"))  # one row for each partition
+    inside = counts.withColumn(first, before(n, Window.partitionBy(part).orderBy(at)))
+    offsets = inside.join(F.broadcast(starts), part).select("__key", (F.col(first) + F.col("__start")).alias(first))
+    joined = df.join(offsets, F.col(key).eqNullSafe(by))
+    return joined.select(first, F.posexplode(parts).alias("__p", "s0")).select((F.col(first) + F.col("__p")).alias("idx"), "s0")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.corpus import ParallelCorpus
+from weftline.functions.quantiles import quantiles
 from weftline.operators.filters import BETWEEN, HIGH, LOW, REGISTRY, Filter
 from weftline.operators.steps import flatten, remove_duplicates, subset
 from weftline.plans.pipeline import FilterPipeline, make
@@ -30,9 +31,10 @@ def _names(scores: DataFrame) -> list[str]:
 
 
 def describe(scores: DataFrame, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """One row a score: count, mean, std (sample), min, percentiles, max; one pass for all."""
+    """One row a score: count, mean, std (sample), min, percentiles, max."""
     names = _names(scores)
-    parts = [F.struct(F.lit(n).alias("score"), F.count(_q(n)).alias("count"), F.avg(_q(n)).alias("mean"), F.stddev_samp(_q(n)).alias("std"), F.min(_q(n)).alias("min"), F.percentile(_q(n), F.array(*map(F.lit, percentiles))).alias("percentiles"), F.max(_q(n)).alias("max")) for n in names]
+    found = quantiles(scores, {n: list(percentiles) for n in names})
+    parts = [F.struct(F.lit(n).alias("score"), F.count(_q(n)).alias("count"), F.avg(_q(n)).alias("mean"), F.stddev_samp(_q(n)).alias("std"), F.min(_q(n)).alias("min"), F.array(*(F.lit(x).cast("double") for x in found[n])).alias("percentiles"), F.max(_q(n)).alias("max")) for n in names]
     one = scores.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts)))
     flat = one.select(F.explode(F.array(*(f"c{i}" for i in range(len(names))))).alias("r")).select("r.*")
     shown = [F.get("percentiles", F.lit(i)).alias(f"{100 * p:g}%") for i, p in enumerate(percentiles)]
@@ -110,7 +112,9 @@ def percentile_parameters(kind: type[Filter], scores: DataFrame, excluded: float
     names = _names(scores)
     constant = scores.agg(*(F.count_distinct(_q(n)).alias(f"c{i}") for i, n in enumerate(names))).first()
     single = [constant[f"c{i}"] <= 1 for i in range(len(names))]
-    quantile = lambda n, q: float(scores.agg(F.percentile(_q(n).cast("double"), F.lit(float(q)))).first()[0])
+    shares = [excluded / 2, 1 - excluded / 2, excluded, 1 - excluded]
+    found = quantiles(scores, {n: shares for n in names})
+    quantile = lambda n, q: float(found[n][shares.index(q)])
     unpack = lambda v: v[0] if len(v) == 1 else v
     if kind.direction == BETWEEN:
         lows, highs = [], []

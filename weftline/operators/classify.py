@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.errors import ConfigurationError
+from weftline.functions.quantiles import quantiles as exact
 from weftline.operators.filters import BETWEEN, FALSE, HIGH, LOW, REGISTRY, TRUE
 from weftline.sources.text import read_json, write_json
 
@@ -133,11 +134,16 @@ class Trainer:
         self.data = self.standard.apply(scores).persist()
         self.dev = self.standard.apply(dev, "label").persist() if dev is not None else None
         self.n = self.data.count()
+        self.known: dict[tuple[str, float], float] = {}
 
     def cutoffs(self, quantiles: dict[str, float], data: DataFrame | None = None) -> dict[str, float]:
         names = list(quantiles)
-        row = (self.data if data is None else data).agg(*(F.percentile(_q(n), F.lit(float(quantiles[n]))).alias(f"q{i}") for i, n in enumerate(names))).first()
-        return {n: row[f"q{i}"] for i, n in enumerate(names)}
+        missing = {n: [q for q in (quantiles[n],) if (n, q) not in self.known] for n in names} if data is None else {n: [quantiles[n]] for n in names}
+        found = exact(self.data if data is None else data, missing) if any(missing.values()) else {}
+        if data is not None:
+            return {n: found[n][0] for n in names}
+        self.known.update({(n, quantiles[n]): found[n][0] for n in names if missing[n]})
+        return {n: self.known[n, quantiles[n]] for n in names}
 
     def labelled(self, cutoffs: dict[str, float]) -> DataFrame:
         low = reduce(lambda a, b: a | b, (_q(n) < F.lit(v) for n, v in cutoffs.items()), F.lit(False))
@@ -199,8 +205,7 @@ class Trainer:
         found = self.train(quantiles)
         if found is None:
             raise ConfigurationError("these quantiles give all rows one label")
-        raw = self.raw.agg(*(F.percentile(_q(n), F.lit(float(q))).alias(f"q{i}") for i, (n, q) in enumerate(quantiles.items()))).first()
-        return found[0], self.criterion(criterion, *found), quantiles, {n: raw[f"q{i}"] for i, n in enumerate(quantiles)}
+        return found[0], self.criterion(criterion, *found), quantiles, {n: v[0] for n, v in exact(self.raw, {n: [q] for n, q in quantiles.items()}).items()}
 
 
 def search(cost: Callable[[Sequence[float]], float], start: Sequence[float], bounds: Sequence[tuple[float, float]], step_coef: float = 1.25) -> list[float]:

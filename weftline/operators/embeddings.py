@@ -15,8 +15,8 @@ from weftline.errors import ConfigurationError
 from weftline.operators.filters import HIGH, REGISTRY, Filter
 from weftline.store import written
 
-#: Rows of stored vectors that meet a query partition at a time.
-BLOCK = 50_000
+#: Vectors of a block; queries that are compared with one at a time.
+BLOCK, ROWS = 50_000, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,42 +35,41 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _tile(k: int):
+    """Kernel: the k best stored vectors of a block for each query of a block; ties go to the smaller id."""
+
+    def kernel(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        stored = stored.sort_by("id")
+        ids, own = stored["id"].to_numpy(), asked["id"].to_numpy()
+        base = _matrix(stored["vector"].combine_chunks())
+        take, out = min(k, len(ids)), []
+        for at in range(0, len(own), ROWS):
+            distance = 1 - _matrix(asked["vector"].combine_chunks().slice(at, ROWS)) @ base.T if take else np.zeros((len(own[at : at + ROWS]), 0))
+            order = np.argsort(distance, axis=1, kind="stable")[:, :take]
+            out.append((np.repeat(own[at : at + ROWS], take), ids[order].ravel(), np.take_along_axis(distance, order, 1).ravel()))
+        columns = [np.concatenate([x[i] for x in out]) if out else [] for i in range(3)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "distance"])
+
+    return kernel
+
+
 def nearest(queries: DataFrame, stored: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """id, neighbour, distance: the k stored vectors of least cosine distance for each query, exactly.
 
-    Both have ``id`` and ``vector``. The stored vectors are taken in blocks of bounded size; each block is broadcast to the
-    queries, which keep their best k of it, and the blocks' bests are merged. Ties go to the smaller id.
+    Both have ``id`` and ``vector``. Queries and stored vectors are cut into blocks by hash; each pair of blocks is a task of
+    its own, which keeps the best k, and the blocks' bests are merged. Nothing passes through the driver. Ties go to the
+    smaller id.
     """
-    spark = queries.sparkSession
-    total = stored.count()
-    parts = max(1, -(-total // block))
-    placed = written(stored.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")), "stored")
-    found: list[DataFrame] = []
-    for part in range(parts):
-        rows = placed.where(F.col("part") == part).orderBy("id").toArrow()
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks())))
-
-        def kernel(batches: Iterator[pa.RecordBatch], shared: Any = shared) -> Iterator[pa.RecordBatch]:
-            ids, base = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    piece = batch.slice(at, 256)
-                    distance = 1 - _matrix(piece["vector"]) @ base.T
-                    take = min(k, len(ids))
-                    order = np.argsort(distance, axis=1, kind="stable")[:, :take]
-                    own = np.repeat(np.array(piece["id"].to_pylist()), take)
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(distance, order, 1).ravel())], ["id", "neighbour", "distance"])
-
-        found.append(queries.select("id", "vector").mapInArrow(kernel, "id long, neighbour long, distance double"))
-    if not found:
-        return spark.createDataFrame([], "id long, neighbour long, distance double")
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    rows, columns = max(1, -(-queries.count() // block)), stored.count()
+    columns = max(1, -(-columns // block), min(cores, -(-columns // ROWS)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("id", "vector", part(rows).alias("q")).withColumn("s", every(columns))
+    given = stored.select("id", "vector", part(columns).alias("s")).withColumn("q", every(rows))
+    best = asked.groupBy("q", "s").cogroup(given.groupBy("q", "s")).applyInArrow(_tile(k), "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # k rows a block for each query
-    return whole.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "distance")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "distance")
 
 
 def margins(pairs: DataFrame, stored: Sequence[DataFrame], k: int = 4) -> DataFrame:

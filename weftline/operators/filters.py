@@ -392,7 +392,8 @@ class RepetitionFilter(Filter):
             return F.lit(0)
 
         def count(s: Column) -> Column:
-            whole, part = F.regexp_extract(s, self.pattern, 0), F.regexp_extract(s, self.pattern, 1)
+            whole = F.regexp_extract(s, self.pattern, 0)
+            part = F.regexp_extract(whole, self.pattern, 1)  # of the match alone: the text isn't searched again
             removed = F.length(whole) - F.length(F.replace(whole, part, F.lit("")))
             return F.when(whole == "", 0).otherwise(F.try_divide(removed, F.length(part)).cast("int") - 1)
 

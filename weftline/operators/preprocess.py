@@ -42,8 +42,19 @@ class WhitespaceNormalizer(Preprocessor):
 _FLAGS = {"A": re.A, "I": re.I, "L": re.L, "M": re.M, "S": re.S, "U": re.U, "X": re.X}
 
 
+#: Patterns that Python and the JVM read alike, with plain groups; replacements of text and references to groups.
+_ALIKE = re.compile(r"(?:[^\\$.()\[\]{}&~]|\\[^\w\s]|\((?!\?)|\)|\[\^?(?:[^\\\[\]&^]|\\[^\w\s])+\]|\{\d+(?:,\d*)?\})*")
+_PLAIN = re.compile(r"(?:[^\\$]|\\[1-9](?!\d))*")
+
+
+def _native(pattern: str, replacement: str, count: int, flags: int) -> bool:
+    """Whether a substitution comes out the same in the JVM: all places, no flags, no empty match."""
+    return not count and not flags and bool(_ALIKE.fullmatch(pattern)) and bool(_PLAIN.fullmatch(replacement)) and not re.match(pattern, "")
+
+
 class RegExpSub(Preprocessor):
-    """Substitutions (pattern, replacement, count, flags) in order; ``lang_patterns`` override them for a segment's number."""
+    """Substitutions (pattern, replacement, count, flags) in order; ``lang_patterns`` override them for a segment's number.
+    Where all patterns of a segment mean the same to the JVM, they run there."""
 
     def __init__(self, patterns: Sequence[Sequence[Any]] = (), lang_patterns: Any = None, **rest: Any) -> None:
         super().__init__(**rest)
@@ -67,6 +78,8 @@ class RegExpSub(Preprocessor):
         steps = self.own.get(number, self.patterns)
         if not steps:
             return text
+        if all(_native(*step) for step in steps):
+            return reduce(lambda t, x: F.regexp_replace(t, x[0], re.sub(r"\\([1-9])", r"$\1", x[1])), steps, text)
 
         def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             compiled = [(re.compile(p, f), r, c) for p, r, c, f in steps]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,18 +26,27 @@ def concatenate(*corpora: ParallelCorpus) -> ParallelCorpus:
     """One after another."""
     if len({c.n for c in corpora}) != 1:
         raise CorpusError("corpora of different width")
+    bounds = [c.df.agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first() for c in corpora[:-1]]
+    if all(n == 0 or (low, high, kinds) == (0, n - 1, n) for n, low, high, kinds in bounds):
+        # dense numbers: the lines before each corpus are added to its own
+        before = accumulate((n for n, *_ in bounds), initial=0)
+        moved = [c.df.withColumn("idx", F.col("idx") + k) for c, k in zip(corpora, before, strict=True)]
+        return ParallelCorpus(reduce(DataFrame.unionByName, moved), corpora[0].n)
     parts = [c.df.withColumn("__file", F.lit(i)).withColumnRenamed("idx", "__old") for i, c in enumerate(corpora)]
     whole = reduce(DataFrame.unionByName, parts)
     return ParallelCorpus(numbered(whole, ["__file", "__old"]).select("idx", *corpora[0].names), corpora[0].n)
 
 
 def head(corpus: ParallelCorpus, n: int) -> ParallelCorpus:
-    return ParallelCorpus(corpus.df.orderBy("idx").limit(n), corpus.n)
+    """The first n lines: line numbers alone are sorted for the last of them, and a filter takes the lines."""
+    last = corpus.df.select("idx").orderBy("idx").limit(n).agg(F.max("idx")).first()[0]
+    return corpus.where(F.col("idx") <= last if last is not None else F.lit(False))
 
 
 def tail(corpus: ParallelCorpus, n: int) -> ParallelCorpus:
-    """The last n lines: a descending top-n, so memory is bounded by n in a task."""
-    return ParallelCorpus(corpus.df.orderBy(F.desc("idx")).limit(n), corpus.n)
+    """The last n lines, likewise."""
+    first = corpus.df.select("idx").orderBy(F.desc("idx")).limit(n).agg(F.min("idx")).first()[0]
+    return corpus.where(F.col("idx") >= first if first is not None else F.lit(False))
 
 
 def slice_lines(corpus: ParallelCorpus, start: int = 0, stop: int | None = None, step: int = 1) -> ParallelCorpus:
@@ -225,20 +235,19 @@ def _closed(tree: Any) -> Column:
 
 
 def flatten(scores: DataFrame, column: str = "score") -> DataFrame:
-    """idx and one column a leaf, named by its dotted way; list items by their numbers (as many as the first row has)."""
-    schema = scores.schema[column].dataType
-    first = scores.select(column).first()
-    out: list[Column] = []
-
-    def walk(value: Column, kind: Any, way: str, sample: Any) -> None:
-        if hasattr(kind, "fieldNames"):
-            for n in kind.fieldNames():
-                walk(value[n], kind[n].dataType, f"{way}.{n}" if way else n, sample[n] if sample is not None else None)
-        elif hasattr(kind, "elementType"):
-            for i in range(len(sample or ())):
-                walk(F.get(value, F.lit(i)), kind.elementType, f"{way}.{i}", sample[i])
-        else:
-            out.append(value.cast("double").alias(way))
-
-    walk(F.col(column), schema, "", first[0] if first else None)
-    return scores.select("idx", *out)
+    """idx and one column a leaf, named by its dotted way; list items by their numbers, as many as the longest list has, null
+    where a row's list is shorter. A list that is empty in all rows has no columns."""
+    leaves: list[tuple[Column, Any, str]] = [(F.col(column), scores.schema[column].dataType, "")]
+    while any(hasattr(kind, "fieldNames") or hasattr(kind, "elementType") for _, kind, _ in leaves):
+        lists = [value for value, kind, _ in leaves if hasattr(kind, "elementType")]
+        row = scores.agg(*(F.max(F.size(v)) for v in lists)).first() if lists else ()
+        widths, opened = iter(row), []
+        for value, kind, way in leaves:
+            if hasattr(kind, "fieldNames"):
+                opened += [(value[n], kind[n].dataType, f"{way}.{n}" if way else n) for n in kind.fieldNames()]
+            elif hasattr(kind, "elementType"):
+                opened += [(F.get(value, F.lit(i)), kind.elementType, f"{way}.{i}") for i in range(max(0, next(widths) or 0))]
+            else:
+                opened.append((value, kind, way))
+        leaves = opened
+    return scores.select("idx", *(value.cast("double").alias(way) for value, _, way in leaves))

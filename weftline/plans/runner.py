@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import math
 import os
+import random
 from collections.abc import Callable
 from typing import Any
 
@@ -21,6 +23,12 @@ from weftline.sources import text
 
 log = logging.getLogger(__name__)
 
+
+def log_count(n: int) -> int:
+    """A word's damped frequency: the rounded binary logarithm of one more."""
+    return int(round(math.log(n + 1, 2)))
+
+
 #: step -> (keys it needs, keys it may have)
 KEYS: dict[str, tuple[str, str]] = {
     "opus_read": ("corpus_name source_language target_language src_output tgt_output", "release preprocessing suppress_prompts source_file target_file"),
@@ -176,10 +184,17 @@ class Runner:
             raise ConfigurationError("train_morfessor needs the library morfessor") from error
         from weftline.operators.subwords import word_counts
 
-        least = p.get("min_frequency", 1)
-        counts = [(r["n"], tuple(r["word"])) for r in word_counts(self._read([p["input"]]).df).where(F.col("n") >= least).toLocalIterator()]
+        least, dampening = p.get("min_frequency", 1), p.get("dampening", "log") or "none"
+        modifiers = {"none": None, "log": log_count, "ones": lambda x: 1, "types": lambda x: 1}
+        if dampening not in modifiers:
+            raise ConfigurationError(f"unknown dampening: {dampening}")
+        if p.get("seed") is not None:
+            random.seed(p["seed"])
+        words = self._read([p["input"]]).df
+        words = words.withColumn("s0", F.lower("s0")) if p.get("lowercase") else words
+        counts = [(r["n"], tuple(r["word"])) for r in word_counts(words).where(F.col("n") >= least).toLocalIterator()]
         model = morfessor.BaselineModel(corpusweight=p.get("corpusweight", 1.0), use_skips=p.get("use_skips", True), forcesplit_list=p.get("forcesplit_list"), nosplit_re=p.get("nosplit_re"))
-        model.load_data(counts, count_modifier={"none": None, "log": lambda x: x.bit_length(), "ones": lambda x: 1, "types": lambda x: 1}[p.get("dampening", "log")])
+        model.load_data(counts, count_modifier=modifiers[dampening])
         model.train_batch()
         morfessor.MorfessorIO().write_binary_model_file(self.path(p["model"]), model)
 

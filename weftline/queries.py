@@ -7,13 +7,16 @@ assistant turns that follow them (two languages).
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.corpus import ParallelCorpus, numbered
+from weftline.corpus import ParallelCorpus, lines_of, numbered
+from weftline.errors import ConfigurationError
 from weftline.functions.hashing import SegmentHasher
+from weftline.functions.quantiles import quantiles
 from weftline.operators import alignment, analysis, classify, embeddings, language_id, language_models, preprocess, steps, subwords
 from weftline.operators import filters as f
 from weftline.plans.pipeline import FilterPipeline
@@ -64,8 +67,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> ParallelCorpus:
 
 
 def _lines(rows: DataFrame, key: str) -> ParallelCorpus:
-    split = rows.select(F.col(key).alias("__d"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("__p", "s0"))
-    return ParallelCorpus(numbered(split, ["__d", "__p"]).select("idx", "s0"), 1)
+    return ParallelCorpus(lines_of(rows, key), 1)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> ParallelCorpus:
@@ -216,9 +218,19 @@ def step_filterfalse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship().filterfalse(pairs(spark, sf_dir)).df
 
 
-@query()
+@query(
+    rf""", n AS (SELECT *, len({_words("s0")}) AS a, len({_words("s1")}) AS b, {_PUNCTUATION.format(s="s0")} AS p, {_PUNCTUATION.format(s="s1")} AS q FROM pairs)
+SELECT idx, a::DOUBLE AS "LengthFilter.0", b::DOUBLE AS "LengthFilter.1",
+  round(CASE WHEN a = 0 AND b = 0 THEN 0.0 WHEN least(a, b) = 0 THEN 'inf'::DOUBLE ELSE greatest(a, b)::DOUBLE / least(a, b) END, 9) AS "LengthRatioFilter",
+  coalesce(list_max(list_transform({_words("s0")}, lambda w: len(w))), 0)::DOUBLE AS "LongWordFilter.0",
+  coalesce(list_max(list_transform({_words("s1")}, lambda w: len(w))), 0)::DOUBLE AS "LongWordFilter.1",
+  round(CASE WHEN s0 = '' THEN 1.0 ELSE len(regexp_replace(s0, '\P{{L}}', '', 'g'))::DOUBLE / len(s0) END, 9) AS "AlphabetRatioFilter.0",
+  round(CASE WHEN s1 = '' THEN 1.0 ELSE len(regexp_replace(s1, '\P{{L}}', '', 'g'))::DOUBLE / len(s1) END, 9) AS "AlphabetRatioFilter.1",
+  round(-ln((abs(p - q) + greatest(p - 1, 0) + greatest(q - 1, 0) + 1)::DOUBLE), 9) + 0.0 AS "TerminalPunctuationFilter" FROM n"""
+)
 def step_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps.flatten(flagship().score(pairs(spark, sf_dir)))
+    found = steps.flatten(flagship().score(pairs(spark, sf_dir)))
+    return found.select("idx", *(real(F.col(f"`{c}`")).alias(c) for c in found.columns if c != "idx"))
 
 
 @query(
@@ -359,8 +371,11 @@ def preprocess_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A file in the shared folder, which has to be mounted on every machine for model files."""
-    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    """A file in the shared folder. Tasks open model files as such, so the folder has to be mounted on every machine."""
+    folder = shared_folder(spark)
+    if "://" in folder and not folder.startswith("file://"):
+        raise ConfigurationError(f"model files need a mounted folder, not {folder}")
+    folder = folder.removeprefix("file://").removeprefix("file:")
     return os.path.join(folder, "models", str(abs(hash(sf_dir))), name)
 
 
@@ -368,7 +383,7 @@ def model_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 def subwords_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges learned from the user turns, applied to them."""
     corpus, path = pairs(spark, sf_dir), model_path(spark, sf_dir, "bpe.codes")
-    subwords.train(corpus.df, path, "s0", 300)
+    subwords.train(corpus.df, path, "s0", 10_000)
     return corpus.df.select("idx", subwords.bpe(F.col("s0"), path).alias("s0"))
 
 
@@ -381,6 +396,34 @@ def language_model_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(own, corpus.select(0), [_item(0, "double")])
 
 
+def _character_model(spark: SparkSession, sf_dir: str, segment: str) -> dict:
+    path = model_path(spark, sf_dir, f"characters-{segment}.arpa")
+    language_models.train(pairs(spark, sf_dir).df, path, segment, 3)
+    return {"filename": path}
+
+
+@query()
+def language_model_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropies of user turns under a model of the user turns less those under one of the assistant turns."""
+    own = language_models.CrossEntropyDifferenceFilter([_character_model(spark, sf_dir, "s0")], [_character_model(spark, sf_dir, "s1")])
+    return _scored(own, pairs(spark, sf_dir).select(0), [_item(0, "double")])
+
+
+@query()
+def language_model_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each turn is one of its own side's, by a model of each side."""
+    own = language_models.LMClassifierFilter(["user", "assistant"], {"user": _character_model(spark, sf_dir, "s0"), "assistant": _character_model(spark, sf_dir, "s1")})
+    return _scored(own, pairs(spark, sf_dir), [_item(0, "double"), _item(1, "double")])
+
+
+@query()
+def language_identification_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of English for every document, by the same model."""
+    docs, path = table(spark, sf_dir, "documents"), model_path(spark, sf_dir, "languages-costs.json")
+    language_id.train_identifier(docs, path)
+    return _scored(language_id.HeliportRawScoreFilter(["en"], [1.0], model=path), ParallelCorpus.of(docs, ["text"], "doc_id"), [_item(0, "double")])
+
+
 @query()
 def language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence in English of every document, by a model of the documents' own languages."""
@@ -395,6 +438,14 @@ def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.score_frame(pairs(spark, sf_dir)).select("idx", _item(0, "double"), _item(1, "double"), own.accept(F.col("score")).alias("accept"))
 
 
+@query()
+def alignment_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected counts of word pairs in both directions."""
+    path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}/priors"
+    alignment.train_priors(pairs(spark, sf_dir), path)
+    return spark.read.parquet(path).select("direction", "s", "t", F.round("n", 6).alias("n"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
@@ -421,6 +472,15 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.nearest(rows.where("id % 100 = 0"), rows, 4).select("id", "neighbour", real(F.col("distance")).alias("distance"))
 
 
+@query()
+def embedding_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each vector to the next over the mean distances to their neighbours, for ids divisible by 100."""
+    rows = _vectors(spark, sf_dir)
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("vector").alias("v1"))
+    both = rows.where("id % 100 = 0").withColumnRenamed("vector", "v0").join(after, "id")
+    return embeddings.margins(both, [rows, rows], 4).select("id", real(F.col("score")).alias("score"))
+
+
 def _pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = FilterPipeline.of([{"LengthRatioFilter": {"unit": "char"}}, {"LongWordFilter": {}}, {"AlphabetRatioFilter": {}}])
     flat = steps.flatten(own.score(pairs(spark, sf_dir)))
@@ -453,16 +513,16 @@ SELECT idx, CASE WHEN -ratio < a OR -long0 < b THEN 0 ELSE 1 END::INTEGER AS lab
 )
 def classifier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _pair_scores(spark, sf_dir).select("idx", -F.col("LengthRatioFilter"), -F.col("`LongWordFilter.0`")).toDF("idx", "ratio", "long0")
-    cut = scores.agg(F.percentile("ratio", F.lit(0.1)).alias("a"), F.percentile("long0", F.lit(0.1)).alias("b"))
-    both = scores.crossJoin(F.broadcast(cut))  # one row of cut-offs
-    return both.select("idx", F.when((F.col("ratio") < F.col("a")) | (F.col("long0") < F.col("b")), 0).otherwise(1).cast("int").alias("label"))
+    cut = quantiles(scores, {"ratio": [0.1], "long0": [0.1]})
+    low = (F.col("ratio") < F.lit(cut["ratio"][0])) | (F.col("long0") < F.lit(cut["long0"][0]))
+    return scores.select("idx", F.when(low, 0).otherwise(1).cast("int").alias("label"))
 
 
 @query()
 def classifier_train_and_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _pair_scores(spark, sf_dir)
     features = {k: {"quantiles": {"min": 0, "max": 0.5, "initial": 0.1}} for k in ("LengthRatioFilter", "LongWordFilter", "AlphabetRatioFilter")}
-    model = classify.Trainer(scores, features).find("CE", "none")[0]
+    model = classify.Trainer(scores, features).find("CE", "default")[0]
     return model.classify(scores).select("idx", "label", real(F.col("probability")).alias("probability"))
 
 
@@ -498,3 +558,9 @@ def scores_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def autogen_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analysis.percentile_config(pairs(spark, sf_dir), [("LengthFilter", {}), ("LengthRatioFilter", {"unit": "char"})], 0.05)
     return spark.createDataFrame([(k, repr(v)) for item in found for k, v in item.items()], "filter string, parameters string")
+
+
+@query()
+def autogen_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.cluster_config(pairs(spark, sf_dir), [("LengthRatioFilter", {"unit": "char"}), ("LongWordFilter", {}), ("AlphabetRatioFilter", {})])
+    return spark.createDataFrame([(k, repr(v)) for item in found for k, v in item.items()], "filter string, parameters string")
