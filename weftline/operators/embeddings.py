@@ -39,12 +39,12 @@ def _tile(k: int):
     """Kernel: the k best stored vectors of a block for each query of a block; ties go to the smaller id."""
 
     def kernel(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        stored = stored.sort_by("id")
-        ids, own = stored["id"].to_numpy(), asked["id"].to_numpy()
-        base = _matrix(stored["vector"].combine_chunks())
+        stored = stored.sort_by("neighbour")
+        ids, own = stored["neighbour"].to_numpy(), asked["own"].to_numpy()
+        base, vectors = _matrix(stored["there"].combine_chunks()), asked["here"].combine_chunks()
         take, out = min(k, len(ids)), []
         for at in range(0, len(own), ROWS):
-            distance = 1 - _matrix(asked["vector"].combine_chunks().slice(at, ROWS)) @ base.T if take else np.zeros((len(own[at : at + ROWS]), 0))
+            distance = 1 - _matrix(vectors.slice(at, ROWS)) @ base.T if take else np.zeros((len(own[at : at + ROWS]), 0))
             order = np.argsort(distance, axis=1, kind="stable")[:, :take]
             out.append((np.repeat(own[at : at + ROWS], take), ids[order].ravel(), np.take_along_axis(distance, order, 1).ravel()))
         columns = [np.concatenate([x[i] for x in out]) if out else [] for i in range(3)]
@@ -65,8 +65,9 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, block: int = BLOCK) -
     columns = max(1, -(-columns // block), min(cores, -(-columns // ROWS)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = queries.select("id", "vector", part(rows).alias("q")).withColumn("s", every(columns))
-    given = stored.select("id", "vector", part(columns).alias("s")).withColumn("q", every(rows))
+    # names of their own, as both tables may come from one
+    asked = queries.select(F.col("id").alias("own"), F.col("vector").alias("here"), part(rows).alias("q"), every(columns).alias("s"))
+    given = stored.select(F.col("id").alias("neighbour"), F.col("vector").alias("there"), every(rows).alias("q"), part(columns).alias("s"))
     best = asked.groupBy("q", "s").cogroup(given.groupBy("q", "s")).applyInArrow(_tile(k), "id long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # k rows a block for each query
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "distance")

@@ -187,7 +187,7 @@ def filter_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(f.RepetitionFilter(), lines(spark, sf_dir), [F.col("score").cast("long").alias("repetitions")])
 
 
-@query()
+@query("SELECT page_id AS idx, regexp_matches(coalesce(html, ''), '<[a-zA-Z][^>]*>') AS score0, NOT regexp_matches(coalesce(html, ''), '<[a-zA-Z][^>]*>') AS accept FROM pages")
 def filter_html_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ParallelCorpus.of(table(spark, sf_dir, "pages"), ["html"], "page_id")
     return _scored(f.HtmlTagFilter(), pages, [_item(0, "boolean")])
@@ -472,13 +472,20 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.nearest(rows.where("id % 100 = 0"), rows, 4).select("id", "neighbour", real(F.col("distance")).alias("distance"))
 
 
-@query()
+@query(
+    """, q AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS v0, b.embedding::DOUBLE[] AS v1 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
+d AS (SELECT q.id, 0 AS side, 1 - list_cosine_similarity(v0, e.embedding::DOUBLE[]) AS x FROM q, embeddings e
+  UNION ALL SELECT q.id, 1, 1 - list_cosine_similarity(v1, e.embedding::DOUBLE[]) FROM q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY x) AS k FROM d),
+t AS (SELECT id, sum(x) AS total FROM r WHERE k <= 4 GROUP BY id)
+SELECT id, round(8 * list_cosine_similarity(v0, v1) / total, 6) + 0.0 AS score FROM q JOIN t USING (id)"""
+)
 def embedding_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each vector to the next over the mean distances to their neighbours, for ids divisible by 100."""
     rows = _vectors(spark, sf_dir)
     after = rows.select((F.col("id") - 1).alias("id"), F.col("vector").alias("v1"))
     both = rows.where("id % 100 = 0").withColumnRenamed("vector", "v0").join(after, "id")
-    return embeddings.margins(both, [rows, rows], 4).select("id", real(F.col("score")).alias("score"))
+    return embeddings.margins(both, [rows, rows], 4).select("id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def _pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,7 +529,7 @@ def classifier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_train_and_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _pair_scores(spark, sf_dir)
     features = {k: {"quantiles": {"min": 0, "max": 0.5, "initial": 0.1}} for k in ("LengthRatioFilter", "LongWordFilter", "AlphabetRatioFilter")}
-    model = classify.Trainer(scores, features).find("CE", "default")[0]
+    model = classify.Trainer(scores, features).find("CE", "none")[0]
     return model.classify(scores).select("idx", "label", real(F.col("probability")).alias("probability"))
 
 
@@ -554,10 +561,24 @@ def scores_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.ScoreClusters(_pair_scores(spark, sf_dir)).labels()
 
 
-@query()
+def _beyond(column: str, share: float, up: bool) -> str:
+    """SQL of the first value beyond the neighbour of a column's quantile; that neighbour itself at the end."""
+    best, other, than = ("min", ">=", ">") if up else ("max", "<=", "<")
+    at = f"(SELECT {best}({column}) FROM n WHERE {column} {other} (SELECT quantile_cont({column}, {share}) FROM n))"
+    return f"coalesce((SELECT {best}({column}) FROM n WHERE {column} {than} {at}), {at})::DOUBLE"
+
+
+@query(
+    rf""", n AS (SELECT len({_words("s0")})::DOUBLE AS a, len({_words("s1")})::DOUBLE AS b, CASE WHEN greatest(len(s0), len(s1)) = 0 THEN 0.0
+    WHEN least(len(s0), len(s1)) = 0 THEN 'inf'::DOUBLE ELSE greatest(len(s0), len(s1))::DOUBLE / least(len(s0), len(s1)) END AS r FROM pairs)
+SELECT 'LengthFilter' AS filter, 'min_length' AS parameter, 0 AS item, {_beyond("a", 0.025, False)} AS value
+UNION ALL SELECT 'LengthFilter', 'min_length', 1, {_beyond("b", 0.025, False)} UNION ALL SELECT 'LengthFilter', 'max_length', 0, {_beyond("a", 0.975, True)}
+UNION ALL SELECT 'LengthFilter', 'max_length', 1, {_beyond("b", 0.975, True)} UNION ALL SELECT 'LengthRatioFilter', 'threshold', 0, round({_beyond("r", 0.95, True)}, 9)"""
+)
 def autogen_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analysis.percentile_config(pairs(spark, sf_dir), [("LengthFilter", {}), ("LengthRatioFilter", {"unit": "char"})], 0.05)
-    return spark.createDataFrame([(k, repr(v)) for item in found for k, v in item.items()], "filter string, parameters string")
+    chosen = [(name, key, i, float(x)) for item in found for name, v in item.items() for key in ("min_length", "max_length", "threshold") if key in v for i, x in enumerate(v[key] if isinstance(v[key], list) else [v[key]])]
+    return spark.createDataFrame(chosen, "filter string, parameter string, item int, value double").withColumn("value", F.round("value", 9))
 
 
 @query()
