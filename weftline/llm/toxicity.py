@@ -1,8 +1,8 @@
 """Toxicity scores by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features: densities of a lexicon, nearness of its words to second-person words, capitals, punctuation and obfuscation rates.
-The lexicon holds words and word beginnings whose documents are labelled toxic far more often than others; it, the trees and
-the calibration are fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of their id; every whole text is scored.
+The lexicon holds all words and word beginnings whose documents are labelled toxic far more often than others; it, the trees
+and the calibration are fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of their id; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from weftline.llm.boost import Isotonic, Trees
 from weftline.llm.common import keep, sample_ids, text_of
 from weftline.llm.features import CHAR_NAMES, OBFUSCATED, char_features
 
-#: Bounds of the fit: labelled rows, lexicon candidates, lexicon entries. Share of the rows for the calibration: 1/CALIBRATE.
-SAMPLE, CANDIDATES, ENTRIES, CALIBRATE = 40_000, 50_000, 1_000, 4
+#: Bound of the fit: labelled rows. Share of the rows for the calibration: 1/CALIBRATE.
+SAMPLE, CALIBRATE = 40_000, 4
 LEAST, MOST, NEAR, KEPT = 4, 8, 6, 500_000
 SECOND = frozenset("you your yours yourself u ya tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen tú ti usted ustedes vosotros vuestro".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -98,6 +98,13 @@ def _count(wanted: frozenset[str] | None):
     return kernel
 
 
+def _same_rows(unit: str, odds: dict, some: dict, other: dict) -> bool:
+    """Whether a shorter beginning stands in the same documents, so that the unit adds nothing to it."""
+    word = unit.rstrip("*")
+    shorter = word[: min(MOST, len(word) - unit.endswith("*"))] + "*"
+    return len(shorter) > LEAST and shorter in odds and (some[shorter], other.get(shorter)) == (some[unit], other.get(unit))
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, trees: Trees, curve: Isotonic) -> None:
         self.lexicon, self.trees, self.curve = lexicon, trees, curve
@@ -122,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     schema = "unit string, n long"
     counted = toxic.select("text").mapInArrow(_count(None), schema).groupBy("unit").agg(F.sum("n").alias("n"))
     least = max(3, round(0.002 * n_toxic))
-    some = {r["unit"]: r["n"] for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(CANDIDATES).collect()}
+    some = {r["unit"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}
     wanted = frozenset(some)
     others = clean.select("text").mapInArrow(_count(wanted), schema).groupBy("unit").agg(F.sum("n").alias("n")).collect()
     other = {r["unit"]: r["n"] for r in others}
@@ -133,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if value - 1.5 * error > 1.0:
             odds[unit] = value
-    lexicon = Lexicon(dict(sorted(odds.items(), key=lambda x: (-x[1] * math.sqrt(some[x[0]]), x[0]))[:ENTRIES]))
+    lexicon = Lexicon({u: x for u, x in odds.items() if not _same_rows(u, odds, some, other)})
     lists = "array<double>"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, held_out, score, predicted. Null texts count as empty and get the empty text's score.
 
-    Rows are independent: repeats get equal scores, ids may be null (not held out), other columns are ignored.
+    Rows are independent: repeats get equal scores, ids may be null (not held out), other columns are ignored; an empty table
+    gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
