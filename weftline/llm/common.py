@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,7 +38,34 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     path = f"{shared_folder(spark)}/weftline/{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and nothing reads any more."""
+    for table in tables:
+        jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+        place = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        place.getFileSystem(session.sessionState().newHadoopConf()).delete(place.getParent(), True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of narrow tables that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a written table has few enough rows to be broadcast."""
+    return df.count() <= BROADCAST_ROWS
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +73,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def release() -> None:
+    """Give memory that a kernel no longer needs back to the machine: workers are used again, for other kernels too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_of(column: str = "text") -> F.Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -109,6 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
+        before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -118,5 +155,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = keep(small.where("a <> b").select("a", "b").distinct(), "star")
         changed = not new.join(now, ["a", "b"], "left_anti").isEmpty() or not now.join(new, ["a", "b"], "left_anti").isEmpty()
         now = new
+        discard(before, large)
         if not changed:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import golomb
-from weftline.llm.common import SPACE, keep, text_of
+from weftline.llm.common import SPACE, fresh, keep, text_of
 
 #: Rows of a block, as a power of two, and the fingerprints that an owner holds on average.
 BLOCK_BITS, OWNED = 17, 4_000_000
@@ -156,8 +156,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(done)
 
 
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, as ``exact_groups`` decides.
 
@@ -167,12 +165,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     lost = groups.where("not kept").select("doc_id", "keep_id", "text_sha256")
     again = not lost.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty()
     gone = lost if not again else lost.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    sha, who, what = fresh(docs, "__sha"), fresh(docs, "__id"), fresh(docs, "__gone")
+    gone = gone.select(F.col("doc_id").alias(who), F.col("text_sha256").alias(what)).distinct()
     if gone.count() <= BROADCAST_ROWS // 4:
         gone = F.broadcast(gone)
-    rows = docs.withColumn("__sha", F.sha2(normalised(), 256))
-    same = (F.col("__sha") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    rows = rows.join(gone, same, "left_anti")
+    rows = docs.withColumn(sha, F.sha2(normalised(), 256))
+    rows = rows.join(gone, (F.col(sha) == F.col(what)) & F.col("doc_id").eqNullSafe(F.col(who)), "left_anti")
     if again:
-        rows = rows.dropDuplicates(["doc_id", "__sha"])
-    return rows.drop("__sha")
+        rows = rows.dropDuplicates(["doc_id", sha])
+    return rows.drop(sha)

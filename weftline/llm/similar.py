@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import golomb
-from weftline.llm.common import components, is_key, keep, keyed, slices, text_of
+from weftline.llm.common import components, discard, fresh, is_key, keep, keyed, release, slices, small, text_of
 from weftline.llm.substrings import forget, hashes
 
 NUM, DEN = 60, 100
@@ -42,7 +42,6 @@ BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 1_000_000, 4 << 20, 1 << 19
 PART, CHUNK, BIN, EACH = 8192, 1 << 19, 1 << 20, 256
 #: Candidate pairs expanded at once, and those that a task holds to drop those that come again.
 EXPAND, HELD = 1 << 19, 1 << 20
-BROADCAST_ROWS = 500_000
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TURNS = np.array([1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -162,6 +161,7 @@ def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows, total = [], 0
         if rows:
             yield _block(*map(list, zip(*rows, strict=True)))
+    release()
 
 
 def _ask(owners: int):
@@ -185,6 +185,7 @@ def _answer(owners: int):
     """Kernel: for each block's tokens a class of how many items hold them: 0 for one, else 1 and more, rising."""
 
     def kernel(table: pa.Table) -> pa.Table:
+        release()  # what earlier groups needed
         first, rows = golomb.bounds(owners, BITS), table.to_pylist()
         sets = [golomb.decode(r["n"], int(first[r["owner"]]), r["width"], r["unary"], r["rest"]) for r in rows]
         counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.uint16) for r in rows])
@@ -198,13 +199,19 @@ def _answer(owners: int):
     return kernel
 
 
-_ENTRY = "token long, part int, parts int, item long, least int, most int, room int, place int"
+_ENTRY = "token long, part int, parts int, item long, sizes long, left long"
+
+
+def _two(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Two small numbers in one, which compresses well."""
+    return low.astype(np.int64) | (high.astype(np.int64) << 32)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel: index entries of each item's prefix, without tokens that no other item holds: token, part of its list, number
-    of parts, item, its set sizes, how much overlap there is room for from here on, position. How common a token is bounds
-    its list, and so says in how many parts the list is split."""
+    of parts, item, its least set size and what the greatest is more, how much overlap there is room for from here on and the
+    block of positions (from 2**block - 1 on). How common a token is bounds its list, and so says in how many parts it is
+    split."""
     for batch in batches:
         for row in batch.to_pylist():
             tokens = _unpack40(row["tokens"])
@@ -224,9 +231,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = np.ceil(2.0 ** (1 + code / 8) / PART).astype(np.int64)
             with np.errstate(over="ignore"):
                 part = ((item[doc].view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
-            narrow = [x.astype(np.int32) for x in (least[doc], most[doc], (sizes + lost)[doc] - place, place)]
-            columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), item[doc], *narrow]
+            band = np.frexp(place + 1.0)[1] - 1
+            wide = [_two(least[doc], (most - least)[doc]), _two((sizes + lost)[doc] - place, band)]
+            columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), item[doc], *wide]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
+    release()
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,14 +245,13 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return probe, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def probe_lists(group: np.ndarray, side: np.ndarray, item: np.ndarray, least: np.ndarray, most: np.ndarray, room: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def probe_lists(group: np.ndarray, side: np.ndarray, item: np.ndarray, least: np.ndarray, most: np.ndarray, room: np.ndarray, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (places in the arrays) between entries of one group: within side 0 alone, or from side 0 to side 1.
 
     A link between sets of items with least sizes m and n shares at least ``_SHARE`` * (m + n) tokens, and each side has at
     most ``room`` left. So an entry's slack, room / _SHARE - n, bounds the m that it can answer. Entries lie in blocks of
-    positions, sorted by least size; a block whose largest slack is below m is skipped, and in others one interval is read.
+    positions (``band``), sorted by least size; a block whose largest slack is below m is skipped, and in others one interval is read.
     """
-    band = np.frexp(place + 1.0)[1].astype(np.int64) - 1  # block: places 2**band - 1 and on
     top, wide = int(band.max(initial=0)) + 1, int(least.max(initial=0)) + 2
     two = np.zeros(int(group.max(initial=-1)) + 1, bool)
     two[group[side == 1]] = True
@@ -312,33 +320,34 @@ class _Pairs:
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel: rows are entries of index lists, or of two parts of one, in the order of their list. Pairs that come again
     within ``HELD`` pairs of a partition are dropped before they are shuffled."""
-    names = ("token", "low", "high", "side", "item", "least", "most", "room", "place")
+    names, low = ("token", "meeting", "item", "sizes", "left"), np.int64((1 << 32) - 1)
     held = _Pairs()
     rest = {c: np.zeros(0, np.int64) for c in names}
 
     def search(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, low, high = (columns[c] for c in names[:3])
-        new = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(token)]
-        for i, j in probe_lists(np.cumsum(new) - 1, *(columns[c] for c in names[3:])):
-            held.add(columns["item"][i], columns["item"][j])
+        token, meeting, item, sizes, left = (columns[c] for c in names)
+        new = np.append(True, (token[1:] != token[:-1]) | (meeting[1:] >> 1 != meeting[:-1] >> 1))[: len(token)]
+        least = sizes & low
+        for i, j in probe_lists(np.cumsum(new) - 1, meeting & 1, item, least, least + (sizes >> 32), left & low, left >> 32):
+            held.add(item[i], item[j])
             if held.n > HELD:
                 held.merge()
                 if held.n > HELD // 2:
                     yield held.flush()
 
     for batch in batches:
-        columns = {c: np.concatenate([rest[c], batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
+        columns = {c: np.concatenate([rest[c], batch[c].to_numpy(zero_copy_only=False)]) for c in names}
         if not len(columns["token"]):
             continue
-        last = [columns[c][-1] for c in names[:3]]
-        whole = ~np.logical_and.reduce([columns[c] == x for c, x in zip(names[:3], last, strict=True)])
-        n = int(np.count_nonzero(whole))  # the last list may go on in the next batch
+        last = (columns["token"] == columns["token"][-1]) & (columns["meeting"] >> 1 == columns["meeting"][-1] >> 1)
+        n = int(np.count_nonzero(~last))  # the last list may go on in the next batch
         rest = {c: columns[c][n:] for c in names}
         yield from search({c: columns[c][:n] for c in names})
     yield from search(rest)
     if held.n:
         held.merge()
         yield held.flush()
+    release()
 
 
 def candidates(entries: DataFrame) -> DataFrame:
@@ -347,8 +356,11 @@ def candidates(entries: DataFrame) -> DataFrame:
     Each entry of a list of n parts goes to the n meetings of its part with all parts, and a meeting is a list of its own.
     """
     met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "item", "least", "most", "room", "place")
-    lists = met.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
+    # both parts' numbers and the side in one: 0 for lists of one part
+    meeting = F.shiftleft(low, 32) + F.shiftleft(high, 1) + (F.col("part") > F.col("other")).cast("long")
+    met = met.select("token", meeting.alias("meeting"), "item", "sizes", "left")
+    lists = met.repartition("token", F.shiftright("meeting", 1)).sortWithinPartitions("token", "meeting")
     return lists.mapInArrow(_candidates, "a long, b long").distinct()
 
 
@@ -409,6 +421,7 @@ _GROUP = "item long, least int, most int, weight long, keys array<long>, copies
 def _grouped(table: pa.Table) -> pa.Table:
     """Kernel: groups of the sets of each chunk. A leader is the free set that is close to the most others, and takes those
     that are free; a set close to none is a group of its own. ``links`` count inside the group, weighted by copies."""
+    release()  # what earlier groups needed
     table = table.sort_by([("chunk", "ascending"), ("key", "ascending")])
     chunk, keys, copies = (table[c].to_numpy() for c in ("chunk", "key", "copies"))
     rows = []
@@ -447,6 +460,7 @@ def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarra
 
 def _cells(table: pa.Table) -> pa.Table:
     """Kernel: per cell the links of its sets to sets of other items, weighted by copies, and a spanning forest of the items."""
+    release()  # what earlier groups needed
     table = table.sort_by([("low", "ascending"), ("high", "ascending"), ("item", "ascending")])
     low, high, sides, items = (table[c].to_numpy() for c in ("low", "high", "side", "item"))
     out = []
@@ -532,7 +546,7 @@ def decided(rows: DataFrame, size: int = 2) -> DataFrame:
     special = copies.select("key", none.alias("chunk"), none.alias("copies")).unionByName(crowds.select("key", "chunk", "copies"))
     special = keep(special.withColumn("special", F.lit(True)), "special")
     texts = rows.select("key", "text")
-    if special.count() <= BROADCAST_ROWS:  # where they are few, a broadcast spares the shuffle of all texts
+    if small(special):  # where they are few, a broadcast spares the shuffle of all texts
         placed = texts.join(F.broadcast(special), "key", "left")
     else:  # sorted, so that a partition made again is cut into the same blocks
         placed = texts.join(special, "key", "left").sortWithinPartitions("key")
@@ -550,7 +564,9 @@ def decided(rows: DataFrame, size: int = 2) -> DataFrame:
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "codes")).alias("answers"))
     entries = blocks.join(answers.hint("shuffle_hash"), "block").mapInArrow(_prefixes, _ENTRY)
     pairs = keep(candidates(entries), "pairs")
-    cells = keep(_verified(texts, classes, groups, pairs, size), "links")
+    discard(special, crowds)
+    cells = _verified(texts, classes, groups, pairs, size)
+    discard(pairs)
     inside = groups.select("item", F.explode(F.arrays_zip("keys", "links")).alias("m")).select(F.col("m.keys").alias("key"), F.col("m.links").alias("links"), "item")
     sums = inside.select("key", "links").unionByName(cells.select("key", "links")).groupBy("key").agg(F.sum("links").alias("links"))
     edges = inside.select(F.col("key").alias("a"), F.col("item").alias("b")).unionByName(cells.select(F.col("item").alias("a"), F.col("root").alias("b")))
@@ -590,24 +606,26 @@ def _verified(texts: DataFrame, classes: DataFrame, groups: DataFrame, pairs: Da
     members = keep(place("a", "ca", "wa").unionByName(place("b", "cb", "wb")).distinct(), "members")
     bins = _bins(members.agg(F.sum("weight")).first()[0])
     single = chunks.where("not grouped").select(F.col("item").alias("key"), F.array("item").alias("keys"), F.array("copies").alias("copies"))
-    if single.count() <= BROADCAST_ROWS:
+    if small(single):
         wanted = texts.join(F.broadcast(single.select("key")), "key", "left_semi")
     else:
         wanted = texts.join(single.select("key"), "key", "left_semi")
     sets = wanted.mapInArrow(_full_sets(size, "key", alone=True), "key long, sets binary").join(single, "key").select(F.col("key").alias("item"), "keys", "copies", "sets")
     sets = sets.unionByName(groups.join(chunks.where("grouped").select("item"), "item").select("item", "keys", "copies", "sets"))
     cells = members.drop("weight").join(sets, "item").withColumn("bin", F.pmod(F.xxhash64("low", "high"), F.lit(bins)))
-    return cells.groupBy("bin").applyInArrow(_cells, "key long, links long, item long, root long")
+    found = keep(cells.groupBy("bin").applyInArrow(_cells, "key long, links long, item long, root long"), "links")
+    discard(leaders, chunks, members)
+    return found
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each component one row, the first with its smallest id, and
     all rows without words. Rows are decided one by one, also where ids are null or repeat."""
-    key = F.col("doc_id").cast("long")
+    key, row, out = F.col("doc_id").cast("long"), fresh(docs, "__row"), fresh(docs, "__out")
     if not is_key(docs, "doc_id"):
-        docs, key = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), F.col("__row")
+        docs, key = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), F.col(row)
     rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    gone = keep(decided(rows).where("not stays").select(F.col("key").alias("__gone")), "gone")
-    if gone.count() <= BROADCAST_ROWS:
+    gone = keep(decided(rows).where("not stays").select(F.col("key").alias(out)), "gone")
+    if small(gone):
         gone = F.broadcast(gone)
-    return docs.join(gone, key == F.col("__gone"), "left_anti").drop("__row")
+    return docs.join(gone, key == F.col(out), "left_anti").drop(row)

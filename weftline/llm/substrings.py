@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import keep, keyed, slices
+from weftline.llm.common import discard, keep, keyed, release, slices, small
 
 WINDOW, K = 35, 18
 KEPT = 1 << 18
@@ -52,8 +52,9 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def forget() -> None:
-    """Free what ``hashes`` keeps: workers are used again, for other kernels too."""
+    """Free what ``hashes`` keeps."""
     _known().clear()
+    release()
 
 
 def rolled(values: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -148,6 +149,7 @@ def find_edges(window: int, k: int):
                 columns += [_lists(x.view(np.int64), counts, pa.int64()) for x in (h, after, before)]
                 columns.append(_lists(chosen - first[doc], counts, pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, ["key", "h", "after", "before", "place"])
+        forget()
 
     return kernel
 
@@ -227,6 +229,7 @@ def look_up(window: int, k: int):
                     ],
                     ["key", "head", "one", "two", "place"],
                 )
+        forget()
 
     return kernel
 
@@ -265,6 +268,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "do
     edge = F.struct("number", "h", "place", "onward", "inward")
     whole = each.join(steps, "h").groupBy("key").agg(F.collect_list(edge).alias("edges"))
     paths = keep(whole.mapInArrow(compact(k), "key long, paths array<struct<head:long,start:int,end:int>>"), "paths")
+    discard(found, each)
     sound = F.transform("paths", lambda p: F.struct(p["head"].alias("head"), p["start"].alias("start"), p["end"].alias("end"), F.lit(True).alias("sound")))
     paths = paths.select("key", sound.alias("paths"))
     schema = "key long, head long, one long, two long, place int"
@@ -283,8 +287,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "do
     return rows, paths.select("key", long.alias("paths")).where(F.size("paths") > 0).join(places, "key", "full")
 
 
+def _some(rows: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that may have a list, rows that have none or None if that isn't known), so that only texts with lists travel."""
+    if not small(lists):
+        return rows, None
+    keys = F.broadcast(lists.select("key"))
+    return rows.join(keys, "key", "left_semi"), rows.join(keys, "key", "left_anti")
+
+
 def _texts(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    return rows.select("key", "text").join(paths, "key").select("key", "text", "paths")
+    return _some(rows.select("key", "text"), paths)[0].join(paths, "key").select("key", "text", "paths")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,5 +334,9 @@ def _final(docs: DataFrame, window: int, k: int, id_col: str, text_col: str, has
                 kept.append(hashlib.sha256(joined).hexdigest() if hashed else joined.decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
-    joined = rows.join(found, "key", "left").select("doc_id", "text", "paths", "places")
+    found = keep(found, "found")
+    some, others = _some(rows, found)
+    joined = some.join(found, "key", "left").select("doc_id", "text", "paths", "places")
+    if others is not None:
+        joined = joined.unionByName(others.select("doc_id", "text", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("paths", "places"))))
     return joined.mapInArrow(kernel, f"doc_id long, n_words long, n_removed long, {name} string")
