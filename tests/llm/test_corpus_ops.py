@@ -229,6 +229,38 @@ def test_wide_trees_are_the_trees_of_one_table():
     assert np.abs(wide.margin(x) - one.margin(x)).max() < 1e-6 and np.abs(wide.binned_margin(bins) - one.margin(x)).max() < 1e-6
 
 
+def test_surest_rows_are_labelled():
+    """The cut-offs from counts pick the rows that sorting all margins picks."""
+    margins = np.random.default_rng(6).permutation(np.linspace(-3, 2.9, 1000))
+    codes = quality._code(margins)
+    low, below, high, above = quality._sure(Counter(codes.tolist()), 0.4)
+    assert len(set(codes.tolist())) > 900 and 0 < below <= 1 and 0 < above <= 1
+    order, n = np.argsort(margins), int(1000 * quality.SHARE)
+    bad, good = set(np.flatnonzero(codes <= low).tolist()), set(np.flatnonzero(codes >= high).tolist())
+    assert set(order[: int(n * 0.6)].tolist()) <= bad and len(bad) <= int(n * 0.6) + 2
+    assert set(order[len(order) - int(n * 0.4) :].tolist()) <= good and len(good) <= int(n * 0.4) + 2
+    few = quality._sure(Counter({-5: 600, 7: 400}), 0.5)
+    assert few == (-5, 50 / 600, 7, 50 / 400)  # ties: that part of the rows, by the number that breaks them
+
+
+def test_rounds_are_the_same_in_the_driver_and_in_spark(spark, monkeypatch):
+    """Pseudo-labels learned by sums over partitions give the scores that learning them in one place gives."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    found = []
+    for near in (quality.NEAR, -1):
+        monkeypatch.setattr(quality, "NEAR", near)
+        found.append({r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels, rounds=1)).collect()})
+    assert found[0].keys() == found[1].keys() and max(abs(found[0][i] - found[1][i]) for i in found[0]) < 1e-6
+
+
+def test_lexicon_keeps_all_that_pass(spark):
+    """Over a thousand words that only toxic documents hold are all entries; of beginnings that say the same, the shortest."""
+    docs = spark.createDataFrame([(i, " ".join(f"{c}{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10 % 10]}{'uvwxyzabcd'[j // 100 % 10]}q{'efghijklmn'[j // 1000]}" for c in ("t" if i % 2 else "c") for j in range(1500))) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    model = toxicity.fit(docs, labels)
+    assert len(model.lexicon.entries) >= 1500 and all(e.startswith("t") for e in model.lexicon.entries)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = odd_docs(spark)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_of
+from weftline.llm.common import release, text_of
 
 KEPT, SLICE, BATCH = 1_000_000, 8 << 20, 500
 
@@ -89,12 +89,12 @@ class Chunks:
         self.kept.update((c, self.words[w] + self.marks[m]) for c, (w, m) in split.items())
         self.kept.update(zip(other, self._alone(other), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.kept) > KEPT:
+    def encode(self, texts: list[bytes], most: int = KEPT) -> list[bytes]:
+        if len(self.kept) > most:
             self.kept = {}
-        if len(self.words) > KEPT:
+        if len(self.words) > most:
             self.words = {}
-        if len(self.marks) > KEPT:
+        if len(self.marks) > most:
             self.marks = {b"": b""}
         # ASCII white space only: what else counts as white space stays inside its chunk, and the tokenizer sees it
         split = [t.split() for t in texts]
@@ -126,11 +126,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", most: int = KEPT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null texts count as empty, and every document ends with ``end_id``, so an empty one is a single piece of length 1.
-    Rows are independent: repeated rows are packed once each, ids may be null, other columns are ignored.
+    Rows are independent: repeated rows are packed once each, ids may be null, other columns are ignored; an empty table
+    gives an empty result. ``most`` bounds the chunks that a worker keeps, which changes speed and memory only.
     """
     if window & (window - 1) or not 1 <= window <= 1 << 15:
         raise ValueError("window must be a power of two up to 32768")
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col
         own, end = chunks(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for first, part in _slices(batch):
-                ids = [x + end for x in own.encode(part)]
+                ids = [x + end for x in own.encode(part, most)]
                 cuts = [lengths(len(x) // 4, window) for x in ids]
                 per_doc = np.array([len(c) for c in cuts])
                 length = np.array([n for c in cuts for n in c], np.int64)
@@ -151,6 +152,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col
                 who = batch["doc_id"].slice(first, len(part)).take(pa.array(np.repeat(np.arange(len(part)), per_doc)))
                 columns = [who, pa.array(starts), pa.array(length), data.cast(pa.binary()), pa.array(np.repeat(tokens, per_doc))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     pieces = rows.mapInArrow(kernel, "doc_id long, start long, length long, ids binary, doc_tokens long")
@@ -163,6 +165,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col
     )
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    return pack(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digest(docs: DataFrame, path: str, most: int = KEPT) -> DataFrame:
+    """The pieces with a checksum in place of their ids; null texts, ids, other columns and empty tables as with ``pack``."""
+    return pack(docs, path, most=most).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

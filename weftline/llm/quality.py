@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.boost import BINS, Isotonic, WideTrees
-from weftline.llm.common import keep, sample_ids, text_of
+from weftline.llm.common import keep, release, sample_ids, text_of
 from weftline.llm.features import CHAR_NAMES, char_features
 
 SAMPLE, ROUNDS, SHARE, CALIBRATE, KEEP_AT = 30_000, 4, 0.1, 4, 0.5
@@ -306,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
             x = matrix(batch["text"])
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), values], [*names, "x"])
+        release()
 
     tied = _rows(docs).withColumn("tie", F.pmod(F.xxhash64("doc_id", "text"), F.lit(TIES)))
     features = keep(tied.select(*names, "text").mapInArrow(kernel, "doc_id long, lang string, source string, n_chars long, tie long, x array<double>"), "features")
@@ -320,13 +321,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, high is good) and ``kept`` (score of at least KEEP_AT), replacing such columns.
 
-    Rows are independent: repeats get equal scores; null texts count as empty; null metadata is a value of its own.
+    Rows are independent: repeats get equal scores; null texts count as empty; null metadata is a value of its own; an empty
+    table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for text, source, lang, n_chars in batches:
             yield pa.array(shared.value.score(matrix(text), source.to_pylist(), lang.to_pylist(), n_chars.to_pylist()), pa.float64())
+        _fits.clear()
+        release()
 
     given = (text_of(), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
     return docs.withColumn("score", F.arrow_udf(scores, "double")(*given)).withColumn("kept", F.col("score") >= KEEP_AT)
@@ -338,7 +342,8 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: in
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document doc_id, score, kept."""
+    """Per document doc_id, score, kept; null texts and metadata, repeats and missing labels as with ``score`` and ``quality``;
+    an empty table gives an empty result."""
     return quality(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels).select("doc_id", "score", "kept")
 
 
