@@ -255,10 +255,12 @@ def test_rounds_are_the_same_in_the_driver_and_in_spark(spark, monkeypatch):
 
 def test_lexicon_keeps_all_that_pass(spark):
     """Over a thousand words that only toxic documents hold are all entries; of beginnings that say the same, the shortest."""
-    docs = spark.createDataFrame([(i, " ".join(f"{c}{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10 % 10]}{'uvwxyzabcd'[j // 100 % 10]}q{'efghijklmn'[j // 1000]}" for c in ("t" if i % 2 else "c") for j in range(1500))) for i in range(40)], "doc_id long, text string")
+    letters = "abcdefghijklmnop"
+    word = lambda c, j: c + letters[j % 16] + letters[j // 16 % 16] + letters[j // 256] + "ql"
+    docs = spark.createDataFrame([(i, " ".join(word(c, j) for c in ("t" if i % 2 else "c") for j in range(1500))) for i in range(40)], "doc_id long, text string")
     labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
     model = toxicity.fit(docs, labels)
-    assert len(model.lexicon.entries) >= 1500 and all(e.startswith("t") for e in model.lexicon.entries)
+    assert model.lexicon.entries == sorted(word("t", j)[:4] + "*" for j in range(1500))
 
 
 def test_quality_edges(spark):
