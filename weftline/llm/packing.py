@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import release, text_of
 
-KEPT, SLICE, BATCH = 1_000_000, 8 << 20, 500
+KEPT, SLICE, BATCH = 1_000_000, 2 << 20, 500
 
 
 #: Letters of ASCII and Latin-1 (none changes under NFC), then ASCII punctuation.
@@ -35,26 +35,13 @@ _LETTERS, _END = "[\\p{L}]+", "</w>"
 class Chunks:
     """Ids of chunks, as little-endian unsigned 32-bit integers, by a tokenizer file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, simple: bool, ends: bytes) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.simple, self.ends = Tokenizer.from_file(path), simple, np.frombuffer(ends, bool)
         self.kept: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.marks: dict[bytes, bytes] = {b"": b""}
-        text = self.tokenizer.to_str()
-        rules = json.loads(text)
-        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.simple = bool(
-            steps
-            and _LETTERS in str(steps[0].get("pattern", {}).get("Regex", "")).split("|")
-            and rules["model"].get("end_of_word_suffix") == _END
-            and any(n.get("type") == "Lowercase" for n in (rules.get("normalizer") or {}).get("normalizers", []))
-            and not rules.get("post_processor")
-        )
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
 
     def _alone(self, chunks: list[bytes]) -> list[bytes]:
         out = []
@@ -102,9 +89,29 @@ class Chunks:
         return [b"".join(map(self.kept.__getitem__, chunks)) for chunks in split]
 
 
+def rules_of(path: str) -> tuple[bool, bytes]:
+    """Whether a tokenizer's chunks can be split, and for each id whether its token ends a word. Read once, in the driver."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    rules = json.loads(own.to_str())
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    simple = bool(
+        steps
+        and _LETTERS in str(steps[0].get("pattern", {}).get("Regex", "")).split("|")
+        and rules["model"].get("end_of_word_suffix") == _END
+        and any(n.get("type") == "Lowercase" for n in (rules.get("normalizer") or {}).get("normalizers", []))
+        and not rules.get("post_processor")
+    )
+    vocabulary = own.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
+    return simple, ends.tobytes()
+
+
 @lru_cache(maxsize=2)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+def chunks(path: str, simple: bool, ends: bytes) -> Chunks:
+    return Chunks(path, simple, ends)
 
 
 def lengths(n: int, window: int) -> list[int]:
@@ -135,9 +142,10 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col
     """
     if window & (window - 1) or not 1 <= window <= 1 << 15:
         raise ValueError("window must be a power of two up to 32768")
+    simple, ends = rules_of(path)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = chunks(path), np.array([end_id], "<u4").tobytes()
+        own, end = chunks(path, simple, ends), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for first, part in _slices(batch):
                 ids = [x + end for x in own.encode(part, most)]
@@ -145,9 +153,9 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_col
                 per_doc = np.array([len(c) for c in cuts])
                 length = np.array([n for c in cuts for n in c], np.int64)
                 tokens = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(length)
-                starts = ends - length - np.repeat(np.cumsum(tokens) - tokens, per_doc)
-                offsets = pa.py_buffer(np.append(0, ends * 4).astype(np.int64))
+                upto = np.cumsum(length)
+                starts = upto - length - np.repeat(np.cumsum(tokens) - tokens, per_doc)
+                offsets = pa.py_buffer(np.append(0, upto * 4).astype(np.int64))
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, offsets, pa.py_buffer(b"".join(ids))])
                 who = batch["doc_id"].slice(first, len(part)).take(pa.array(np.repeat(np.arange(len(part)), per_doc)))
                 columns = [who, pa.array(starts), pa.array(length), data.cast(pa.binary()), pa.array(np.repeat(tokens, per_doc))]
