@@ -43,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Chunks that a worker keeps while it packs: workers have done other stages before, and hold some memory already.
-KEPT = 150_000
+KEPT = 200_000
 
 STAGES = [
     ("quality classifier", good_documents),
