@@ -89,6 +89,41 @@ def test_pairs_of_a_list_come_in_bounded_parts(monkeypatch):
     assert {(int(a), int(b)) for i, j in found for a, b in zip(i, j, strict=True)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
 
 
+def test_chance_pairs_are_no_candidates(spark, monkeypatch):
+    """Any two texts share a rare shingle or two by chance; such pairs were candidates, and grow as the square of the input."""
+    draw = random.Random(3)
+    texts = [[f"w{draw.randrange(60)}" for _ in range(60)] for _ in range(300)]
+    texts += [[*t[:50], f"v{i}", *t[51:]] for i, t in enumerate(texts[:20])] + [[*t[:20], *t[32:]] for t in texts[20:40]]
+    seen, keep = {}, similar.keep
+
+    def kept(df, name, *more):
+        seen[name] = keep(df, name, *more)
+        if name == "pairs":
+            seen["n"] = seen[name].count()
+        return seen[name]
+
+    monkeypatch.setattr(similar, "keep", kept)
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert run(spark.createDataFrame(pairs, "doc_id long, text string")) == sorted(map(repr, plain(pairs)))
+    assert seen["n"] < 50
+
+
+def test_linked_prefixes_share_what_both_ask_for():
+    """Sets in one order of tokens, at the threshold and above it, with sizes of their own."""
+    draw = np.random.default_rng(8)
+    for _ in range(2000):
+        n = int(draw.integers(1, 120))
+        both = np.sort(draw.choice(400, n, replace=False))
+        left = int(n * similar.DEN / similar.NUM + 1e-9) - n
+        more = int(draw.integers(0, left + 1))
+        rest = draw.permutation(np.setdiff1d(np.arange(400), both))
+        a, b = (np.sort(np.append(both, x)) for x in (rest[:more], rest[more:left]))
+        sizes, none = np.array([len(a), len(b)]), np.zeros(2, int)
+        ask = similar.shared(sizes, none)
+        p, q = similar.prefix_length(sizes, sizes, none)
+        assert len(np.intersect1d(a[:p], b[:q])) >= min(ask) >= 1
+
+
 def test_related_sets_come_back():
     draw = np.random.default_rng(5)
     base = np.unique(draw.integers(0, 2**63, 50)).astype(np.uint64)

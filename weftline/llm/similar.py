@@ -10,7 +10,8 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    tokens come first in every item; those of one item alone can't join anything and stay out of the index.
 4. Prefixes go into index lists. A long list is split into parts that meet pairwise, each meeting in a place of its own. A
    list's entries lie in blocks by position: a block whose largest slack is below a probe's size is skipped, others allow
-   sizes in an interval. Pairs of items come out, never pairs of their sets.
+   sizes in an interval. Prefixes are so long that those of linked items share several tokens; pairs that meet in fewer lists
+   are dropped, as chance pairs, which grow as the square of the input. Pairs of items come out, never pairs of their sets.
 5. Pairs name cells: two chunks of similar items. A cell's sets meet in one task, in an order that puts similar sets beside
    each other, with overlaps derived as in 2. A cell reports link counts and a spanning forest, not pairs.
 6. The forests' components are contracted by Spark joins.
@@ -42,6 +43,8 @@ BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 1_000_000, 4 << 20, 1 << 19
 PART, CHUNK, BIN, EACH = 8192, 1 << 19, 1 << 20, 256
 #: Candidate pairs expanded at once, and those that a task holds to drop those that come again.
 EXPAND, HELD = 1 << 19, 1 << 20
+#: Tokens that the prefixes of a linked pair share at least: 2 and one more for each LONGER of its overlap, SHARED at most.
+LONGER, SHARED = 16, 12
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TURNS = np.array([1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,10 +87,21 @@ def sketches(tokens: np.ndarray) -> list[int]:
     return out
 
 
+def _overlap(least: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """Tokens that a linked item shares at least: ``NUM`` / ``DEN`` of the smallest set, less what the cut merged."""
+    return (NUM * least + DEN - 1) // DEN - lost
+
+
+def shared(least: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """How many tokens of an item's prefix a linked item's prefix holds too, if it asks for as many itself; never more than
+    their overlap."""
+    overlap = _overlap(least, lost)
+    return np.clip(np.minimum(2 + overlap // LONGER, overlap), 1, SHARED)
+
+
 def prefix_length(size: np.ndarray, least: np.ndarray, lost: np.ndarray) -> np.ndarray:
-    """How many of an item's first tokens must hold one that a linked item's prefix shares: a link shares at least ``NUM`` /
-    ``DEN`` of the smaller set, less what the cut merged."""
-    return np.clip(size - ((NUM * least + DEN - 1) // DEN - lost) + 1, 0, size)
+    """How many of an item's first tokens must hold the first ``shared`` ones of its overlap with a linked item."""
+    return np.clip(size - _overlap(least, lost) + shared(least, lost), 0, size)
 
 
 def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -200,6 +214,7 @@ def _answer(owners: int):
 
 
 _ENTRY = "token long, part int, parts int, item long, sizes long, left long"
+_BAND = 8  # bits of a block of positions
 
 
 def _two(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -209,9 +224,9 @@ def _two(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel: index entries of each item's prefix, without tokens that no other item holds: token, part of its list, number
-    of parts, item, its least set size and what the greatest is more, how much overlap there is room for from here on and the
-    block of positions (from 2**block - 1 on). How common a token is bounds its list, and so says in how many parts it is
-    split."""
+    of parts, item, its least set size and what the greatest is more, how much overlap there is room for from here on, and the
+    block of positions (from 2**block - 1 on) with the tokens to share above ``_BAND``. There is room for the shared tokens
+    before this one, too. How common a token is bounds its list, and so says in how many parts it is split."""
     for batch in batches:
         for row in batch.to_pylist():
             tokens = _unpack40(row["tokens"])
@@ -232,7 +247,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 part = ((item[doc].view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
             band = np.frexp(place + 1.0)[1] - 1
-            wide = [_two(least[doc], (most - least)[doc]), _two((sizes + lost)[doc] - place, band)]
+            ask = shared(least, lost)
+            wide = [_two(least[doc], (most - least)[doc]), _two((sizes + lost + ask - 1)[doc] - place, band | (ask[doc] << _BAND))]
             columns = [tokens.view(np.int64), part.astype(np.int32), parts.astype(np.int32), item[doc], *wide]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ENTRY.split(", ")])
     release()
@@ -290,36 +306,37 @@ def probe_lists(group: np.ndarray, side: np.ndarray, item: np.ndarray, least: np
 
 
 class _Pairs:
-    """Distinct pairs of numbers, each pair one 64-bit code of two local numbers while they are few."""
+    """Distinct pairs of numbers with how often they came and how often they have to; while pairs are compared, each is one
+    64-bit code of two local numbers."""
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.parts.append(self._distinct(np.minimum(a, b), np.maximum(a, b)))
+    def add(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> None:
+        self.parts.append(self._distinct(np.minimum(a, b), np.maximum(a, b), need, np.ones(len(a), np.int64)))
         self.n += len(self.parts[-1])
 
     @staticmethod
-    def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _distinct(a: np.ndarray, b: np.ndarray, need: np.ndarray, times: np.ndarray) -> np.ndarray:
         ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        codes = np.unique(inverse[: len(a)] * len(ids) + inverse[len(a) :])
-        return np.stack([ids[codes // len(ids)], ids[codes % len(ids)]], axis=1) if len(codes) else np.zeros((0, 2), np.int64)
+        _, first, same = np.unique(inverse[: len(a)] * len(ids) + inverse[len(a) :], return_index=True, return_inverse=True)
+        return np.stack([a[first], b[first], need[first], np.bincount(same, times, len(first)).astype(np.int64)], axis=1)
 
     def merge(self) -> None:
         pairs = np.concatenate(self.parts)
-        self.parts = [self._distinct(pairs[:, 0], pairs[:, 1])]
+        self.parts = [self._distinct(*pairs.T)]
         self.n = len(self.parts[0])
 
     def flush(self) -> pa.RecordBatch:
-        pairs = np.concatenate(self.parts) if self.parts else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(self.parts) if self.parts else np.zeros((0, 4), np.int64)
         self.parts, self.n = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], ["a", "b", "need", "times"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kernel: rows are entries of index lists, or of two parts of one, in the order of their list. Pairs that come again
-    within ``HELD`` pairs of a partition are dropped before they are shuffled."""
+    within ``HELD`` pairs of a partition are added up before they are shuffled."""
     names, low = ("token", "meeting", "item", "sizes", "left"), np.int64((1 << 32) - 1)
     held = _Pairs()
     rest = {c: np.zeros(0, np.int64) for c in names}
@@ -327,9 +344,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def search(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         token, meeting, item, sizes, left = (columns[c] for c in names)
         new = np.append(True, (token[1:] != token[:-1]) | (meeting[1:] >> 1 != meeting[:-1] >> 1))[: len(token)]
-        least = sizes & low
-        for i, j in probe_lists(np.cumsum(new) - 1, meeting & 1, item, least, least + (sizes >> 32), left & low, left >> 32):
-            held.add(item[i], item[j])
+        least, ask = sizes & low, left >> 32 + _BAND
+        band = (left >> 32) & ((1 << _BAND) - 1)
+        for i, j in probe_lists(np.cumsum(new) - 1, meeting & 1, item, least, least + (sizes >> 32), left & low, band):
+            held.add(item[i], item[j], np.minimum(ask[i], ask[j]))
             if held.n > HELD:
                 held.merge()
                 if held.n > HELD // 2:
@@ -351,7 +369,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of items that pass the length and position filters at a shared token.
+    """Distinct pairs a < b of items that pass the length and position filters at as many shared tokens as both ask for.
 
     Each entry of a list of n parts goes to the n meetings of its part with all parts, and a meeting is a list of its own.
     """
@@ -361,7 +379,8 @@ def candidates(entries: DataFrame) -> DataFrame:
     meeting = F.shiftleft(low, 32) + F.shiftleft(high, 1) + (F.col("part") > F.col("other")).cast("long")
     met = met.select("token", meeting.alias("meeting"), "item", "sizes", "left")
     lists = met.repartition("token", F.shiftright("meeting", 1)).sortWithinPartitions("token", "meeting")
-    return lists.mapInArrow(_candidates, "a long, b long").distinct()
+    found = lists.mapInArrow(_candidates, "a long, b long, need long, times long").groupBy("a", "b")
+    return found.agg(F.max("need").alias("need"), F.sum("times").alias("times")).where("times >= need").select("a", "b")
 
 
 def overlaps(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
