@@ -1,5 +1,6 @@
 """The pipeline's stages, one by one, against plain implementations on their own inputs."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ from cases import no_docs, odd_docs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import quality, secrets
+from weftline.llm import quality, secrets, similar
 from weftline.llm.common import keep
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +88,25 @@ def test_odd_tables(spark):
         docs = out
 
 
+def test_near_copies_stage_pairs_no_chance_pairs(spark, monkeypatch):
+    """Stage 3 verified every pair of texts that shares one rare shingle; their number grows as the square of the input."""
+    draw = random.Random(6)
+    texts = [[f"w{draw.randrange(60)}" for _ in range(60)] for _ in range(300)]
+    texts += [[*t[:50], f"v{i}", *t[51:]] for i, t in enumerate(texts[:20])] + [[*t[:20], *t[32:]] for t in texts[20:40]]
+    pairs, seen = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+
+    def kept(df, name, *more):
+        out = keep(df, name, *more)
+        if name == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "keep", kept)
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.unlike_documents(spark, docs, SF).collect()} == plain_components(pairs)
+    assert len(seen) == 1 and seen[0] < 50
+
+
 def test_empty_tables(spark):
     docs = no_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
