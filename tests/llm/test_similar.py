@@ -182,3 +182,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200), (7, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100} or {k: v for k, v in got.items() if k != v} == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+
+
+def test_words_of_many_texts_are_hashed_together():
+    """Each text's words were looked up one by one, in three passes over all texts; same sets as one text alone or plain tuples."""
+    draw = random.Random(2)
+    long = [b"x" * n + end for n in (7, 8, 9, 63, 64, 65, 200_000) for end in (b"", b"y", b"\0", b" y")]
+    texts = [b"", b" ", b"a", b"A", b"a b", b"\0", b"\0\0", b"a\0 b", b"\t\n\x0b\x0c\r a\x1c\x85b", *long]
+    texts += [bytes(draw.choice(b"aB \n\xc3\xa9") for _ in range(draw.randrange(60))) for _ in range(1000)]
+    for size in (1, 2, 3):
+        found, hashed = similar.shingles(texts, size), {}
+        for text, got in zip(texts, found, strict=True):
+            words = bytes(c + 32 if 65 <= c <= 90 else c for c in text).split()
+            want = {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, len(words) > 0))}
+            assert len(got) == len(want) and (np.diff(got) > 0).all() and got.tolist() == similar.shingles([text], size)[0].tolist()
+            if len(want) == 1:
+                assert hashed.setdefault(*want, int(got[0])) == got[0]
+        assert len(set(hashed.values())) == len(hashed)

@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm import golomb
 from weftline.llm.common import components, discard, fresh, is_key, keep, keyed, release, slices, small, text_of
-from weftline.llm.substrings import forget, hashes
 
 NUM, DEN = 60, 100
 #: Sets of at least this similarity (in percent) to a leader join its group.
 LEAD = 70
-BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 1_000_000, 4 << 20, 1 << 19
+BITS, OWNED, BLOCK_BYTES, BLOCK_TOKENS = 40, 2_000_000, 8 << 20, 1 << 20
+#: Bytes of text whose words are hashed at once, and bytes of a word from which on it is hashed alone.
+AT_ONCE, LONG = 1 << 18, 64
 #: Entries of a part of an index list; weight of a chunk and of what a task takes at once, a set weighing its tokens and EACH.
 PART, CHUNK, BIN, EACH = 8192, 1 << 19, 1 << 20, 256
 #: Candidate pairs expanded at once, and those that a task holds to drop those that come again.
@@ -48,43 +49,89 @@ LONGER, SHARED = 16, 12
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TURNS = np.array([1, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACES = np.isin(np.arange(256), [*range(9, 14), 32])
+_MOST = np.uint64((1 << 64) - 1)
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # keeps the first n bytes of eight
 _SHARE = NUM / (NUM + DEN)  # a link shares at least this part of both sizes' sum
 _TINY = 1e-9
 
 
-def shingles(text: bytes, size: int = 2) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the text's shingles; one for all its words where there are fewer."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    v = hashes(words)
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and 64-bit hashes of the words between white space, eight bytes of all words at a time. ``data`` begins with
+    white space and ends with eight bytes of it at least."""
+    space = _SPACES[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out, some = sizes.astype(np.uint64), np.arange(len(first))
     with np.errstate(over="ignore"):
-        if len(words) < size:
-            n = len(words)
-            out = np.array([xxhash.xxh3_64_intdigest(v.tobytes(), seed=n)], np.uint64)
-        else:
-            n = len(v) - size + 1
-            out = v[:n]
+        for at in range(0, LONG, 8):
+            x = out[some] * _B ^ eight[first[some] + at] & _LEFT[np.minimum(sizes[some] - at, 8)]
+            x = (x ^ (x >> np.uint64(32))) * _MIX
+            x = (x ^ (x >> np.uint64(32))) * _MIX
+            out[some] = x ^ (x >> np.uint64(32))
+            some = some[sizes[some] > at + 8]
+            if not len(some):
+                break
+    for i in some.tolist():  # beyond LONG bytes
+        out[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + sizes[i]])
+    return first, out
+
+
+def shingles(texts: list[bytes], size: int = 2) -> list[np.ndarray]:
+    """Ascending distinct 64-bit hashes of each text's shingles; one for all its words where there are fewer."""
+    out: list[np.ndarray] = []
+    while len(out) < len(texts):
+        some, total = [], 0
+        while total < AT_ONCE and len(out) + len(some) < len(texts):
+            some.append(texts[len(out) + len(some)])
+            total += len(some[-1])
+        ends = np.cumsum([len(t) + 1 for t in some]) + 1
+        first, v = words(b" ".join([b"", *some, b" " * 8]).translate(_LOWER))
+        n = max(0, len(v) - size + 1)
+        with np.errstate(over="ignore"):
+            runs = v[:n]
             for i in range(1, size):
-                out = out * _B + v[i : i + n]
-        out = (out ^ (out >> np.uint64(32))) * _MIX
-        return np.unique(out ^ (out >> np.uint64(29)))
+                runs = runs * _B + v[i : i + n]
+            runs = _mixed(runs)
+            a = 0
+            for b in np.searchsorted(first, ends).tolist():
+                if 0 < b - a < size:
+                    out.append(_mixed(np.array([xxhash.xxh3_64_intdigest(v[a:b].tobytes(), seed=b - a)], np.uint64)))
+                else:
+                    out.append(_once(np.sort(runs[a : max(a, b - size + 1)])))  # faster than np.unique
+                a = b
+    return out
+
+
+def _once(ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.append(True, ascending[1:] != ascending[:-1])[: len(ascending)]]
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    out = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return out ^ (out >> np.uint64(29))
 
 
 def cut(tokens: np.ndarray) -> np.ndarray:
-    """Distinct tokens of ``BITS`` bits."""
-    return np.unique(tokens >> np.uint64(64 - BITS))
+    """Distinct tokens of ``BITS`` bits of ascending ones."""
+    return _once(tokens >> np.uint64(64 - BITS))
 
 
-def sketches(tokens: np.ndarray) -> list[int]:
-    """For each of ``_TURNS`` the two least tokens under that turn, in one number. Similar sets are likely to share one."""
-    out = []
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row a set, none of them empty: for each of ``_TURNS`` the two least tokens under that turn, in one number. Similar sets
+    are likely to share one."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, first = np.concatenate(sets), np.cumsum(sizes) - sizes
+    out = np.empty((len(sets), len(_TURNS)), np.uint64)
     with np.errstate(over="ignore"):
-        for turn in _TURNS:
+        for i, turn in enumerate(_TURNS):
             turned = tokens * turn
-            a, b = np.sort(np.partition(turned, 1)[:2]) if len(turned) > 1 else (turned[0], turned[0])
-            out.append(int(((a * _B) ^ b) * _MIX) - (1 << 63))
-    return out
+            a = np.minimum.reduceat(turned, first)
+            turned[turned == np.repeat(a, sizes)] = _MOST  # one token a set: the turns keep tokens distinct
+            b = np.where(sizes > 1, np.minimum.reduceat(turned, first), a)
+            out[:, i] = ((a * _B) ^ b) * _MIX
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _overlap(least: np.ndarray, lost: np.ndarray) -> np.ndarray:
@@ -111,15 +158,14 @@ def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
 def _signatures(size: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, marks = [], [], []
-            for text in batch["text"].cast(pa.large_binary()):
-                s = shingles(text.as_py(), size)
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                marks.append(sketches(s) if len(s) else None)
-            columns = [pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["doc_id"], *columns], ["key", "doc_id", "n", "sig", "marks"])
-        forget()
+            for at, texts in slices(batch["text"], BLOCK_BYTES):
+                sets = shingles(texts, size)
+                n = [len(s) for s in sets]
+                marks = iter(sketches([s for s in sets if len(s)]).tolist() if any(n) else [])
+                sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                columns = [pa.array(n, pa.int32()), sig, pa.array([next(marks) if x else None for x in n], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, len(texts)) for c in ("key", "doc_id")), *columns], ["key", "doc_id", "n", "sig", "marks"])
+        release()
 
     return kernel
 
@@ -152,10 +198,10 @@ def _single_blocks(size: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch["text"], BLOCK_BYTES):
-                sets = [shingles(t, size) for t in texts]
+                sets = shingles(texts, size)
                 n = [len(s) for s in sets]
                 yield _block(batch["key"].slice(at, len(texts)).to_pylist(), n, n, n, [cut(s) for s in sets])
-        forget()
+        release()
 
     return kernel
 
@@ -517,10 +563,10 @@ def _full_sets(size: int, *names: str, alone: bool = False):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch["text"], BLOCK_BYTES):
-                found = [shingles(t, size) for t in texts]
+                found = shingles(texts, size)
                 data = pa.array([related([s]) if alone else s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, len(texts)) for c in names), data], [*names, "sets" if alone else "tokens"])
-        forget()
+        release()
 
     return kernel
 
