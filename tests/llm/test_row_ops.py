@@ -177,6 +177,45 @@ def test_packing(spark, name):
     assert packing.pack(no_docs(spark), path).count() == 0
 
 
+def packing_ids(own, texts, most=packing.KEPT):
+    data = [t.encode() for t in texts]
+    ids, upto = own.encode(np.frombuffer(bytearray().join(data), np.uint8), np.cumsum([0, *map(len, data)]), most)
+    return [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)]
+
+
+@pytest.mark.parametrize("simple", [True, False])
+@pytest.mark.parametrize("most", [packing.KEPT, 30])
+def test_packing_odd_parts(simple, most):
+    """Signs among letters, forms that compose, special tokens and texts that touch are cut as the tokenizer cuts them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    own, plain = packing.Chunks(path, simple, packing.rules_of(path)[1]), Tokenizer.from_file(path)
+    some = "a The \xc9t\xe9 \xdf \xd7 \xf7 \u0178 \u0130 J \u030c \u0307 \u0338 = < > | . , ' 's 'RE \u201c \u2014 12 \u65e5 \x85 \x1c \x00 \xb5 K <|startoftext|>".split(" ")
+    texts = ["", "a\xd7.", "\xd7.", "a", ".", "\xc9.", "b.", " ", "a ", " A", "", "<|endoftext|>", "<|EndOfText|>."]
+    texts += ["".join(draw.choice([*some, " ", " ", "\n"]) for _ in range(draw.randrange(14))) for _ in range(900)]
+    got = [x for i in range(0, len(texts), 60) for x in packing_ids(own, texts[i : i + 60], most)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing_ids(own, ["", ""]) == [[], []] and packing_ids(own, []) == []
+
+
+def test_packing_looks_up_parts_once():
+    """Python sees each distinct part of a slice once, whatever its case and punctuation; words that stay common are kept."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, asked, learned = packing.Chunks(path, *packing.rules_of(path)), [], []
+    ids, together = own._ids, own._together
+    own._ids = lambda parts, most: asked.append(parts) or ids(parts, most)
+    own._together = lambda words: learned.extend(words) or together(words)
+    for i in range(12):
+        rare = " ".join(f"{chr(97 + i)}{chr(97 + j)}q" for j in range(20))
+        packing_ids(own, ["Common, common. COMMON word! word " * 50 + rare], most=60)
+    assert all(len(parts) == len(set(parts)) == 3 + 3 + 20 for parts in asked)
+    assert learned.count(b"common") == learned.count(b"word") == 1 and len(learned) == 2 + 12 * 20
+    assert len(own.kept) + len(own.before) < 60 + 2 * 26
+
+
 @both
 def test_media_digest(spark, name):
     docs = inputs(spark, name)
