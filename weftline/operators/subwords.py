@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -25,37 +27,64 @@ def word_counts(text: DataFrame, column: str = "s0") -> DataFrame:
 
 
 def learn(counts: dict[str, int], symbols: int = 10_000, min_frequency: int = 2) -> list[tuple[str, str]]:
-    """Merges by falling pair frequency; ties go to the pair that sorts last. Pair counts are kept up to date by word."""
+    """Merges by falling pair frequency; ties go to the pair that sorts last. Pair counts are kept up to date by word, and a
+    heap holds for each pair a count that is its own or was: a pair is pushed when its count has grown, or corrected when it
+    comes up."""
     vocabulary = [((*w[:-1], w[-1] + END), n) for w, n in sorted(counts.items()) if w]
     pairs: Counter[tuple[str, str]] = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    where: dict[tuple[str, str], array] = defaultdict(lambda: array("q"))
     for i, (parts, n) in enumerate(vocabulary):
         for pair in zip(parts, parts[1:], strict=False):
             pairs[pair] += n
-            where[pair].add(i)
+            where[pair].append(i)
+    heap = [(-n, _falling(pair), pair) for pair, n in pairs.items()]
+    heapq.heapify(heap)
     out = []
-    for _ in range(symbols):
-        if not pairs:
-            break
-        best = max(pairs, key=lambda p: (pairs[p], p))
-        if pairs[best] < min_frequency:
+    while heap and len(out) < symbols:
+        n, key, best = heapq.heappop(heap)
+        if pairs.get(best, 0) != -n:
+            if best in pairs and pairs[best] < -n:
+                heapq.heappush(heap, (-pairs[best], key, best))
+            continue
+        if -n < min_frequency:
             break
         out.append(best)
-        for i in sorted(where.pop(best, ())):
+        grown, merged = set(), "".join(best)
+        for i in sorted(set(where.pop(best, ()))):
             parts, n = vocabulary[i]
             new = _contract(parts, best)
-            for pair in zip(parts, parts[1:], strict=False):
+            if len(new) == len(parts):
+                continue
+            before = list(zip(parts, parts[1:], strict=False))
+            for pair in before:
                 pairs[pair] -= n
                 if pairs[pair] <= 0:
                     del pairs[pair]
+            held = set(before)
             for pair in zip(new, new[1:], strict=False):
                 pairs[pair] += n
-                where[pair].add(i)
+                if merged in pair:
+                    grown.add(pair)
+                if pair not in held:
+                    where[pair].append(i)
             vocabulary[i] = (new, n)
         pairs.pop(best, None)
+        for pair in grown:
+            if pair in pairs:
+                heapq.heappush(heap, (-pairs[pair], _falling(pair), pair))
     return out
 
 
+def _falling(pair: tuple[str, str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """A key that puts pairs in the opposite of their own order."""
+    return _opposite(pair[0]), _opposite(pair[1])
+
+
+@lru_cache(maxsize=100_000)
+def _opposite(part: str) -> tuple[int, ...]:
+    return (*(-ord(c) for c in part), 1)
+
+
 def _contract(parts: Sequence[str], pair: tuple[str, str]) -> tuple[str, ...]:
     out: list[str] = []
     i = 0
